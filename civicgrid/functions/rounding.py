@@ -11,4 +11,5 @@ def portable_round(x: Column, digits: int) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Into 0..1; NULL stays NULL (``least`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

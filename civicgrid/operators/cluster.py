@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
 from ..functions.geo import haversine_km
@@ -122,3 +123,70 @@ def sample_text() -> Column:
     """Aggregate: the longest text (the first of equals), 300 characters."""
     text = F.coalesce("raw_text", F.lit(""))
     return F.substring(F.max_by(text, F.struct(F.length(text), -F.col("id"))), 1, 300)
+
+
+def demand_groups(reports: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Density clusters of (id, category, lat, lon, vec) per category: id, category, label (0, 1, ... by first core).
+
+    Noise is left out. The gate never binds while eps is smaller, because the distance is at least the kilometres.
+    """
+    radius = min(cfg.eps_km, cfg.gate_km)
+    rows = reports.filter(F.col("category").isNotNull()).withColumn("vec", F.coalesce("vec", F.array().cast("array<float>")))
+    roots = density_groups(rows, ["category"], radius, cfg.min_samples, "vec", cfg.semantic_km)
+    return roots.join(rows.select("id", "category"), "id").select("id", "category", F.col("root").alias("cluster_id"))
+
+
+def number_groups(roots: DataFrame, key: Sequence[str], name: str = "label") -> DataFrame:
+    """Consecutive labels of the distinct roots of each key, in root order."""
+    w = Window.partitionBy(*key).orderBy("root")
+    return roots.select(*key, "root").distinct().withColumn(name, F.row_number().over(w) - 1)
+
+
+def work_groups(members: DataFrame, key: str, radius_m: float, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Single linkage of a cluster's reports within ``radius_m``: id, key, root (the smallest member id)."""
+    roots = density_groups(members.select("id", key, "lat", "lon"), [key], radius_m / 1000.0)
+    return roots.join(members.select("id", key), "id").select("id", key, "root")
+
+
+def describe_work_groups(members: DataFrame, cluster: str) -> DataFrame:
+    """What a crew needs to know of each work group; ``members`` carry ``cluster`` and ``root``."""
+    keys = [cluster, "root"]
+    base = members.groupBy(*keys).agg(
+        F.avg("lat").alias("centroid_lat"), F.avg("lon").alias("centroid_lon"), F.count(F.lit(1)).alias("report_count"),
+        sample_text().alias("sample_text"), group_location_basis().alias("location_basis"))
+    out = (
+        base.join(reporter_count(members, keys, "distinct_reporters"), keys).join(spread(members, keys), keys)
+        .join(modal(members, keys, "village", "id"), keys, "left").join(modal(members, keys, "block", "id"), keys, "left"))
+    return out.withColumn("label", F.coalesce("village", "block", F.lit("Unnamed location")))
+
+
+def name_work_groups(groups: DataFrame, category: str, facilities: DataFrame, named_works: DataFrame,
+                     cfg: Settings = DEFAULTS) -> DataFrame:
+    """A group takes a name only when one asset is possible; otherwise a shortlist goes with it.
+
+    ``groups``: a key column ``gid``, ``category`` named by the argument, centroid_lat, centroid_lon, village.
+    ``named_works``: ``works_by_village``.
+    """
+    from .catchment import top_array
+    from .spatial import radius_join
+
+    roads = groups.filter(F.col(category) == "road").select("gid", "village").join(named_works, "village").select(
+        "gid", F.col("n_works").alias("n"), F.col("works").alias("candidates"),
+        F.when(F.col("n_works") == 1, F.lit("pmgsy")).alias("asset_source"))
+    near = radius_join(
+        groups.filter(F.col(category) != "road").select(
+            "gid", F.col(category).alias("category"), F.col("centroid_lat").alias("lat"),
+            F.col("centroid_lon").alias("lon")),
+        facilities.select("id", "name", "external_id", "source", "category", "sub_type", "management", "p_lat", "p_lon"),
+        cfg.school_radius_m / 1000.0, on=["category"])
+    item = F.struct(
+        "name", "external_id", F.concat_ws(" · ", F.nullif("sub_type", F.lit("")), F.nullif("management", F.lit(""))).alias("detail"),
+        F.floor(F.col("km") * 1000.0 + 0.5).cast("bigint").alias("distance_m"))
+    lists = top_array(near, "gid", [F.col("km"), F.col("id")], item, cfg.shortlist, "candidates")
+    counts = near.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("_source"))
+    others = lists.join(counts, "gid").select(
+        "gid", "n", "candidates", F.when(F.col("n") == 1, F.col("_source")).alias("asset_source"))
+    found = roads.unionByName(others)
+    single = F.when(F.col("n") == 1, F.try_element_at("candidates", F.lit(1)))
+    return groups.join(found, "gid", "left").withColumns({
+        "asset_label": single["name"], "asset_external_id": single["external_id"]}).drop("n")

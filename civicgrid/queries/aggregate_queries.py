@@ -210,9 +210,9 @@ def high_share(v):
        """SELECT group_id, CASE WHEN NOT bool_or(precise_lat IS NOT NULL OR coalesce(pin_source, '') <> '') THEN 'village_centroid'
             WHEN bool_and(coalesce(src, '') = 'citizen_gps') THEN 'citizen_gps_pin'
             WHEN bool_and(coalesce(src, '') = 'synthetic_seed') THEN 'synthetic_seed' ELSE 'mixed' END AS asset_basis,
-          CASE WHEN bool_and(both) THEN 'citizen_gps_pin' WHEN bool_or(both) THEN 'mixed' ELSE 'village_centroid' END AS group_basis
+          CASE WHEN bool_and(pinned) THEN 'citizen_gps_pin' WHEN bool_or(pinned) THEN 'mixed' ELSE 'village_centroid' END AS group_basis
           FROM (SELECT *, CASE WHEN coalesce(pin_source, '') <> '' THEN pin_source WHEN precise_lat IS NOT NULL THEN 'citizen_gps' END AS src,
-                precise_lat IS NOT NULL AND precise_lon IS NOT NULL AS both FROM grouped) x GROUP BY group_id""", "grouped")
+                precise_lat IS NOT NULL AND precise_lon IS NOT NULL AS pinned FROM grouped) x GROUP BY group_id""", "grouped")
 def location_basis(v):
     return v.grouped.groupBy("group_id").agg(
         cluster.asset_location_basis().alias("asset_basis"), cluster.group_location_basis().alias("group_basis"))

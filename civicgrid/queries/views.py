@@ -192,7 +192,7 @@ SELECT o_orderkey AS work_id, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_cust
             THEN 'In Progress' WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN 'Not Started'
             ELSE 'Completed' END AS status,
        CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS BIGINT) END AS sanction_year,
-       CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE floor(o_totalprice) / 1e5 END AS cost_lakh,
+       CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE floor(o_totalprice) / 99731e0 END AS cost_lakh,
        1e0 + o_orderkey % 9 AS length_km
 FROM {orders}
 """
@@ -202,8 +202,8 @@ SELECT l_orderkey * 10 + l_linenumber AS scheme_id, CAST(floor(l_orderkey / 10e0
        'Scheme ' || cast(l_orderkey AS STRING) AS scheme_name,
        CASE WHEN l_linestatus = 'O' AND l_orderkey % 3 = 0 THEN ' Ongoing' WHEN l_orderkey % 7 = 0 THEN 'Not Started'
             ELSE 'Completed' END AS status,
-       CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE floor(l_extendedprice) / 1e5 END AS estimated_lakh,
-       floor(l_extendedprice * (1e0 - l_discount * (l_orderkey % 4))) / 1e5 AS spent_lakh
+       CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE floor(l_extendedprice) / 99731e0 END AS estimated_lakh,
+       floor(l_extendedprice * (1e0 - l_discount * (l_orderkey % 4))) / 99731e0 AS spent_lakh
 FROM {lineitem} WHERE l_linenumber = 1
 """
 
@@ -218,8 +218,8 @@ FROM {orders}
 
 VIEWS["employment"] = """
 SELECT o_custkey AS place_id, o_orderkey AS id, cast(year(o_orderdate) AS STRING) AS fin_year,
-       CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE floor(o_totalprice) / 1e5 END AS total_lakh,
-       floor(o_totalprice * 0.6e0) / 1e5 AS wages_lakh, floor(o_totalprice * 0.4e0) / 1e5 AS material_lakh
+       CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE floor(o_totalprice) / 99731e0 END AS total_lakh,
+       floor(o_totalprice * 0.6e0) / 99731e0 AS wages_lakh, floor(o_totalprice * 0.4e0) / 99731e0 AS material_lakh
 FROM {orders} WHERE o_custkey % 4 <> 1
 """
 
@@ -269,6 +269,15 @@ FROM {{part}}
 """
 
 
+# Whole documents, most of them with a complaint added.
+VIEWS["texts"] = """
+SELECT d.doc_id AS id, CASE WHEN d.doc_id % 5 = 0 THEN d.text WHEN d.doc_id % 5 < 4 THEN h.phrase
+       ELSE d.text || '. ' || h.phrase END AS body,
+       CASE d.doc_id % 5 WHEN 0 THEN 'road' WHEN 1 THEN 'water' WHEN 2 THEN 'health' WHEN 3 THEN 'education' ELSE NULL END AS category,
+       d.doc_id % 9 AS duplicates, d.n_chars
+FROM {documents} d JOIN {phrases} h ON h.k = d.doc_id % 19
+"""
+
 # Stored facts of one photo per document.
 VIEWS["photo_rows"] = """
 SELECT d.doc_id AS attachment_id, e.event_id AS report_id, e.user_id, 'V' || cast(e.user_id % 20 AS STRING) AS village,
