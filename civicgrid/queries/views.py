@@ -291,8 +291,28 @@ SELECT d.doc_id AS attachment_id, e.event_id AS report_id, e.user_id, 'V' || cas
        CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE 0.2e0 + (d.n_chars % 81) / 100e0 END AS authenticity,
        CASE d.doc_id % 6 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'partly_verified' ELSE 'verified' END AS verdict,
        CASE d.doc_id % 5 WHEN 0 THEN 'reused_photo' WHEN 1 THEN 'no_capture_gps' WHEN 2 THEN 'editing_software' ELSE NULL END AS flag1,
-       CASE d.doc_id % 3 WHEN 0 THEN 'not_live_capture' ELSE NULL END AS flag2, d.n_chars, d.text
+       CASE d.doc_id % 3 WHEN 0 THEN 'not_live_capture' ELSE NULL END AS flag2, d.n_chars, d.text,
+       (d.n_chars % 300) * 15040395481399 + d.doc_id % 6 * 4097 AS ph,
+       (d.n_chars % 300) * 27303493102507 + d.doc_id % 10 * 65 AS dh,
+       p.lat + (d.doc_id % 9) * 0.011e0 AS capture_lat, CASE WHEN d.doc_id % 10 = 3 THEN NULL ELSE p.lon END AS capture_lon,
+       CASE WHEN d.doc_id % 4 = 1 THEN NULL ELSE d.doc_id % 16 * 100e0 END AS accuracy_m,
+       CASE WHEN d.doc_id % 20 = 3 THEN p.lat END AS exif_lat, CASE WHEN d.doc_id % 20 = 3 THEN p.lon END AS exif_lon,
+       p.lat AS village_lat, p.lon AS village_lon,
+       CASE d.doc_id % 8 WHEN 0 THEN 'Adobe Photoshop' WHEN 1 THEN 'GIMP 2' ELSE NULL END AS software,
+       (d.n_chars % 100) / 100e0 AS ela_score, (d.n_chars % 79) / 79e0 AS moire_score, d.doc_id % 17 = 0 AS static_burst,
+       CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE TRUE END AS model_ran,
+       CASE e.event_type WHEN 'view' THEN 'road' WHEN 'click' THEN 'water' ELSE 'health' END AS category
 FROM {documents} d JOIN {events} e ON e.event_id = CAST(floor(d.doc_id / 2e0) AS BIGINT) * 3
+JOIN {places} p ON p.id = e.user_id
+"""
+
+# Detection boxes, several per image, on a unit frame.
+VIEWS["detections"] = """
+SELECT l_orderkey AS image_id, l_orderkey * 10 + l_linenumber AS det_id,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'crack' ELSE 'pothole' END AS label,
+       (l_partkey % 100) / 101e0 AS confidence, (l_suppkey * 7 % 80) / 100.7e0 AS x1, (l_partkey * 3 % 80) / 100.9e0 AS y1,
+       (l_suppkey * 7 % 80) / 100.7e0 + l_quantity / 300.1e0 AS x2, (l_partkey * 3 % 80) / 100.9e0 + (l_partkey % 20) / 99.1e0 AS y2
+FROM {lineitem}
 """
 
 # One row per order: every input of the score, with the edge cases the terms distinguish.
