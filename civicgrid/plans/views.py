@@ -28,3 +28,11 @@ def scale_anchors(clusters: DataFrame) -> DataFrame:
     return clusters.agg(
         F.min("priority_score").alias("low"), F.percentile("priority_score", F.lit(0.6)).alias("upper"),
         F.max("priority_score").alias("high"), F.max("population_affected").alias("max_people"))
+
+
+def budget_answer(items: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Choice per scenario for an amount in crore (100 lakh), with the bound no choice can beat."""
+    from .budget import allocate, totals, upper_bound
+
+    s = scenarios.withColumn("budget_lakh", C("budget_crore") * 100.0)
+    return totals(allocate(items, s), s).join(upper_bound(items, s), "scenario", "left")
