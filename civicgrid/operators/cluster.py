@@ -190,3 +190,18 @@ def name_work_groups(groups: DataFrame, category: str, facilities: DataFrame, na
     single = F.when(F.col("n") == 1, F.try_element_at("candidates", F.lit(1)))
     return groups.join(found, "gid", "left").withColumns({
         "asset_label": single["name"], "asset_external_id": single["external_id"]}).drop("n")
+
+
+def numbered_names(df: DataFrame, name: str, order: str) -> DataFrame:
+    """``shown``: the name, with ``#2``, ``#3`` ... from its second use on."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    return df.withColumn("_n", n).withColumn(
+        "shown", F.when(F.col("_n") == 1, F.col(name)).otherwise(
+            F.concat(F.col(name), F.lit(" #"), F.col("_n").cast("string")))).drop("_n")
+
+
+def first_seen(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The first report of every wording in each group, by time and then id."""
+    who = F.sha2(F.lower(F.trim(F.coalesce("raw_text", F.lit("")))), 256).alias("who")
+    return df.groupBy(*key, who).agg(
+        F.min_by(F.struct("id", "created_at"), F.struct("created_at", "id")).alias("_f")).select(*key, "_f.*")

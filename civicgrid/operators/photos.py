@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
 from ..functions.rounding import portable_round
+from .ranking import sum_before
 
 C = F.col
 
@@ -43,7 +43,7 @@ def rollup(photo_rows: DataFrame, key: Sequence[str]) -> DataFrame:
 def classifier_scores(scored: DataFrame, threshold: float) -> DataFrame:
     """Metrics of (label 0/1, score). AUC by rank sums over distinct scores: equal scores share their mean rank.
 
-    The window runs over distinct score values after aggregation, never over the rows themselves.
+    The running sum is taken over distinct score values after aggregation, range by range.
     """
     hit = C("score") >= threshold
     n = scored.agg(
@@ -52,9 +52,7 @@ def classifier_scores(scored: DataFrame, threshold: float) -> DataFrame:
         F.count_if(~hit & (C("label") == 1)).alias("fn"))
     by_score = scored.groupBy("score").agg(
         F.count_if(C("label") == 1).alias("p"), F.count_if(C("label") == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(
-        Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = by_score.withColumn("below", below).agg(
+    auc = sum_before(by_score, [C("score")], C("q"), "below").agg(
         (F.sum(C("p") * (C("below") + C("q") * 0.5))
          / F.greatest(F.lit(1), F.sum("p") * F.sum("q"))).alias("auc"))
 

@@ -10,10 +10,12 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
 from ..functions.rounding import portable_round
+from ..operators.state import salted, spread
 
 C = F.col
 OBJECTIVES = ("population", "priority")
 MAX_TABLE_CELLS = 4_000_000_000
+BUCKETS = 32
 
 
 def candidates(assets: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -41,8 +43,9 @@ def scenario_items(items: DataFrame, scenarios: DataFrame) -> DataFrame:
     its budget (about B ln B items), however many candidates there are.
     """
     s = scenarios.withColumn("capacity", F.greatest(F.lit(0), F.floor(C("budget_lakh") + 0.5).cast("int")))
-    everywhere = s.filter("district is null").drop("district").withColumn("_all", F.lit(1))
-    whole = items.withColumn("_all", F.lit(1)).join(everywhere, "_all").drop("_all")
+    # Every candidate meets every country-wide scenario; the buckets keep that join off a single task.
+    everywhere = spread(s.filter("district is null").drop("district"), BUCKETS)
+    whole = salted(items, C("asset_id"), BUCKETS).join(everywhere, "_salt").drop("_salt")
     local = items.join(s.filter("district is not null"), "district")
     both = whole.unionByName(local, allowMissingColumns=True).filter("units <= capacity")
     worth = F.when(C("objective") == "population", C("people").cast("double")).otherwise(C("priority_score"))

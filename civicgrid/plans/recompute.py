@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
 from ..functions.nested import count_map
 from ..functions.numeric import TERMS
 from ..functions.rounding import portable_round
 from ..operators import cluster
+from ..operators.ranking import global_rank, with_next
 from ..operators.state import checkpoint
 from .assets import name_assets, resolve_assets
 from .score import Registers, score_groups
@@ -77,10 +77,9 @@ def cluster_centres(members: DataFrame) -> DataFrame:
 
 
 def rank_clusters(scored: DataFrame) -> DataFrame:
-    """Global rank and the runner-up of each cluster. One row per cluster is sorted, not one per report."""
-    w = Window.orderBy(C("priority_score").desc(), "group_id")
-    return scored.withColumns({
-        "rank": F.row_number().over(w), "runner_up_cluster_id": F.lead("group_id").over(w)})
+    """Global rank and the runner-up of each cluster."""
+    ranked = global_rank(scored, [C("priority_score").desc(), C("group_id")])
+    return with_next(ranked, "rank", "group_id", "runner_up_cluster_id")
 
 
 @dataclass

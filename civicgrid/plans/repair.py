@@ -34,3 +34,34 @@ def assign_blocks(places: DataFrame, headquarters: DataFrame) -> DataFrame:
         places.join(per_district, "district", "left").withColumn("_best", best)
         .withColumns({"block": F.coalesce(C("_best.name"), C("block")), "hq_km": C("_best.km")})
         .drop("_hqs", "_best"))
+
+
+def regeocode(reports: DataFrame, places: DataFrame, threshold: float = 75.0) -> DataFrame:
+    """Run the text rules again on reports without a village; only gaps are filled.
+
+    ``reports``: id, raw_text, duplicate_count, district, block, village, issue_category, latitude, longitude.
+    """
+    from .structure import structure_reports
+
+    todo = reports.filter("village is null").select("id", "raw_text", "duplicate_count", "district")
+    found = structure_reports(todo, places, threshold).select(
+        "id", C("village").alias("_v"), C("block").alias("_b"), C("latitude").alias("_lat"),
+        C("longitude").alias("_lon"), C("issue_category").alias("_cat"))
+    fill = C("village").isNull() & C("_v").isNotNull()
+    return reports.join(found, "id", "left").withColumns({
+        "issue_category": F.coalesce("issue_category", F.when(C("village").isNull(), C("_cat"))),
+        "block": F.when(fill, C("_b")).otherwise(C("block")),
+        "latitude": F.when(fill, C("_lat")).otherwise(C("latitude")),
+        "longitude": F.when(fill, C("_lon")).otherwise(C("longitude")),
+        "village": F.coalesce("village", "_v")}).drop("_v", "_b", "_lat", "_lon", "_cat")
+
+
+def repair(places: DataFrame, headquarters: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Missing headquarters, blocks, coordinates and places, in that order.
+
+    ``headquarters``: id, name, district, lat, lon.
+    """
+    from ..operators.lookup import backfill_point
+
+    whole = assign_blocks(add_headquarters(places, headquarters), headquarters)
+    return whole, regeocode(backfill_point(reports, whole), whole)

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.geo import haversine_km
+from ..functions import text
+from ..functions.geo import accepted_pin, haversine_km
+from ..functions.numeric import picked_location_confidence
+from ..functions.rounding import portable_round
+from ..operators.fuzzy import best_match
+
+C = F.col
 
 
 def accept_facility(reports: DataFrame, facilities: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -20,3 +26,82 @@ def accept_facility(reports: DataFrame, facilities: DataFrame, cfg: Settings = D
         reports.join(f, "facility_id", "left")
         .withColumn("facility_id", F.when(ok, F.col("facility_id"))).drop("_cat", "_flat", "_flon")
     )
+
+
+def structure_reports(reports: DataFrame, places: DataFrame, threshold: float = 75.0, strict: bool = False) -> DataFrame:
+    """Raw text to language, category, severity, place and confidence.
+
+    ``reports``: id, raw_text, duplicate_count, and ``district`` where it is known beforehand (it limits the place names
+    compared). Works on a stream as well, up to the place match (see ``structure_columns``).
+    """
+    t = structure_columns(reports)
+    named = t.filter("location_raw is not null").select("id", "district", C("location_raw").alias("name"))
+    found = best_match(named, places.select("id", "district", "name"), threshold, strict)
+    p = places.select(
+        C("id").alias("match_id"), C("name").alias("village"), "block", C("lat").alias("latitude"),
+        C("lon").alias("longitude"))
+    t = t.join(found, "id", "left").join(p, "match_id", "left")
+    return t.withColumn("confidence", _confidence(t)).withColumnRenamed("match_id", "place_id")
+
+
+def _confidence(t: DataFrame):
+    geo = F.coalesce(portable_round(C("score") / 100.0, 2), F.lit(0.20))
+    scores = [
+        text.language_confidence(C("language")), text.category_confidence(C("issue_category")),
+        text.severity_confidence(C("severity")), geo]
+    return F.when(C("raw_text") == "", 0.10).otherwise(text.overall_confidence(scores))
+
+
+def structure_columns(reports: DataFrame) -> DataFrame:
+    """The part that needs the text only."""
+    t = reports.withColumn("raw_text", text.strip_space(F.coalesce("raw_text", F.lit(""))))
+    t = t.withColumns({
+        "language": text.detect_language(C("raw_text")), "clean_text": text.normalize_text(C("raw_text"))})
+    t = text.with_location_phrase(t, "clean_text", "location_raw")
+    blank = C("raw_text") == ""
+    return t.withColumns({
+        "issue_category": F.when(~blank, text.extract_category(C("clean_text"))),
+        "severity": F.when(blank, "medium").otherwise(
+            text.extract_severity(C("clean_text"), C("duplicate_count"))),
+        "location_raw": F.when(~blank, C("location_raw"))})
+
+
+IDENTITY = ("full_name", "gender", "mobile", "email", "address", "pincode")
+
+
+def resolve_intake(forms: DataFrame, places: DataFrame, facilities: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """A picked village outranks the text; pin and facility are checked against it; wording is redacted.
+
+    ``forms``: structured rows plus picked_district, picked_block, picked_village, department, report_lat, report_lon and
+    the identity columns. The result carries no identity column and no raw text.
+    """
+    p = places.groupBy(
+        C("district").alias("picked_district"), C("block").alias("picked_block"), C("name").alias("picked_village")
+    ).agg(F.min_by(F.struct("lat", "lon"), "id").alias("_pt"))
+    t = forms.join(p, ["picked_district", "picked_block", "picked_village"], "left")
+    picked = C("_pt").isNotNull()
+    t = t.withColumns({
+        "v_lat": F.when(picked, C("_pt.lat")).otherwise(C("latitude")),
+        "v_lon": F.when(picked, C("_pt.lon")).otherwise(C("longitude"))})
+    pin = accepted_pin(C("report_lat"), C("report_lon"), C("v_lat"), C("v_lon"), cfg)
+    has_pin = picked & pin[0].isNotNull()
+    t = t.withColumns({
+        "issue_category": F.coalesce("issue_category", F.when(picked, text.department_category(C("department")))),
+        "district": F.when(picked, C("picked_district")).otherwise(C("district")),
+        "block": F.when(picked, C("picked_block")).otherwise(C("block")),
+        "village": F.when(picked, C("picked_village")).otherwise(C("village")),
+        "location_raw": F.when(picked, C("picked_village")).otherwise(C("location_raw")),
+        "precise_lat": F.when(has_pin, pin[0]), "precise_lon": F.when(has_pin, pin[1]),
+        "pin_source": F.when(has_pin, "citizen_gps"),
+        "facility_id": F.when(picked, C("facility_id")),
+        "confidence": F.when(picked, picked_location_confidence(C("confidence"))).otherwise(C("confidence"))})
+    t = accept_facility(t, facilities, cfg)
+    return t.select(
+        "id", text.redact(C("raw_text")).alias("raw_text"), "language", "issue_category", "severity", "location_raw",
+        "district", "block", "village", C("v_lat").alias("latitude"), C("v_lon").alias("longitude"), "precise_lat",
+        "precise_lon", "pin_source", "facility_id", "department", "confidence")
+
+
+def identity_rows(forms: DataFrame) -> DataFrame:
+    """Identity and the untouched text, for tables of their own that no analysis reads."""
+    return forms.select(C("id").alias("linked_request_id"), *IDENTITY, C("raw_text").alias("original_text"))

@@ -154,7 +154,8 @@ def scenarios(v):
     """Two objectives for every district, and for all districts together."""
     both = F.explode(F.array(F.lit("population"), F.lit("priority"))).alias("objective")
     local = v.places.select("district").distinct().select(C("district"), F.lit(120.0).alias("budget_lakh"), both)
-    whole = v.region.limit(1).select(F.lit(None).cast("string").alias("district"), F.lit(900.0).alias("budget_lakh"), both)
+    whole = v.places.agg(F.lit(None).cast("string").alias("district"), F.lit(900.0).alias("budget_lakh")).select(
+        "district", "budget_lakh", both)
     return local.unionByName(whole).withColumn(
         "scenario", F.concat_ws("|", F.coalesce("district", F.lit("all")), "objective"))
 

@@ -161,6 +161,18 @@ SELECT group_id, min(issue_category) AS category, avg(lat) AS lat, avg(lon) AS l
 FROM {grouped} GROUP BY group_id
 """
 
+# Scored clusters given by the grid, with terms by arithmetic.
+VIEWS["clusters"] = """
+SELECT t.*, demand + population + infra_deficit + vulnerability + equity + strategic + urgency + feasibility + cost_penalty AS priority_score
+FROM (SELECT c.group_id AS cluster_id, c.category AS issue_category, c.lat AS centroid_lat, c.lon AS centroid_lon, c.report_count,
+  g.district, g.block, g.people AS population_affected, (c.group_id * 3 % 70) / 4e0 AS demand, (c.group_id * 7 % 70) / 4e0 AS population,
+  (c.group_id * 11 % 70) / 4e0 AS infra_deficit, (c.group_id * 13 % 70) / 4e0 AS vulnerability, (c.group_id % 11) * 1e0 AS equity,
+  CASE WHEN c.group_id % 3 = 0 THEN 4e0 ELSE 0e0 END AS strategic, (c.group_id % 16) * 1e0 AS urgency, (c.group_id % 9) / 4e0 AS feasibility,
+  -(c.group_id % 13) / 4e0 AS cost_penalty
+  FROM {centres} c JOIN (SELECT group_id, min(district) AS district, min(block) AS block, sum(id) % 90000 AS people FROM {grouped} GROUP BY group_id) g
+  ON g.group_id = c.group_id) t
+"""
+
 VIEWS["facilities"] = f"""
 SELECT p_partkey AS id, p_name || ' ' || cast(p_partkey AS STRING) AS name, 'X' || cast(p_partkey AS STRING) AS external_id,
        CASE WHEN p_partkey % 4 = 0 THEN 'nic_healthgis' ELSE 'udise' END AS source,
