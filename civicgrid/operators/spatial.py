@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import EARTH_KM
 from ..functions.geo import box_distance_km, haversine_km
+from .state import checkpoint
 
 KM_PER_DEGREE = EARTH_KM * math.pi / 180.0
 PAD = 1e-9
@@ -119,9 +120,9 @@ def nearest_any(
     Only keys that found nothing go on to the next ring.
     """
     found = None
-    todo = left.select(left_key, *left_point).dropna().dropDuplicates([left_key])
+    todo = checkpoint(left.select(left_key, *left_point).dropna().dropDuplicates([left_key]))
     for i, ring in enumerate(rings_km):
-        hit = nearest_within(todo, right, ring, left_key, order, (), left_point, right_point)
+        hit = checkpoint(nearest_within(todo, right, ring, left_key, order, (), left_point, right_point))
         found = hit if found is None else found.unionByName(hit)
         if i == len(rings_km) - 1:
             break

@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="checkpoint-"))
+    return folder.rstrip("/")
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder of ``spark.checkpoint.dir`` and go on from there.
+    """Write the rows as a table in the shared folder and go on from there.
 
-    Only a local session without that setting gets a folder of its own.
+    A written table outlives lost executors, is computed once, and is read back by column with its true size known.
     """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def salted(df: DataFrame, by: Column, n: int, name: str = "_salt") -> DataFrame:
