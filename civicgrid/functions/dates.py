@@ -28,6 +28,11 @@ def utc_time(text: Column) -> Column:
     return F.when(zoned & t.rlike(r"\d:\d"), shifted).otherwise(F.regexp_replace(t, "T", " ").try_cast("timestamp_ntz"))
 
 
+def utc_instant(ts: Column) -> Column:
+    """The same moment as TIMESTAMP, which watermarks need, whatever the session's zone."""
+    return F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")
+
+
 def flexible_time(value: Column) -> Column:
     """Epoch seconds, epoch milliseconds or ISO text."""
     number = F.trim(value).try_cast("double")
