@@ -7,6 +7,7 @@ from ..functions.numeric import TERMS
 from ..plans import assets, recompute, score, villages
 from . import sqltext as S
 from .aggregate_queries import BASE, BURST, ELIGIBLE, FACTS, FIBRE, INFRA, ROADSHARE, VULN, WHO, emergency_ctes
+from .cluster_queries import CLUSTERS
 from .registry import query, register
 from .spatial_queries import HQ_KM, LOOKUP_SQL, segment_table
 from .views import AS_OF, THIS_YEAR
@@ -56,11 +57,28 @@ def full(v) -> recompute.Outputs:
     return recompute.recompute(v.located, vectors(v), registers(v), AS_OF)
 
 
+_LG = S.hav("l.lat", "l.lon", "g.lat", "g.lon")
+# Clusters found by the density rule, under the names the score reads.
+FOUND = f"""{CLUSTERS}, first_pass AS (SELECT l.*, c.cluster_id AS group_id FROM located l JOIN clustered c ON c.id = l.id),
+gc AS (SELECT group_id, issue_category AS category, avg(lat) AS lat, avg(lon) AS lon FROM first_pass GROUP BY 1, 2),
+late AS (SELECT id, group_id FROM (SELECT l.id, g.group_id, row_number() OVER (PARTITION BY l.id ORDER BY {_LG}, g.group_id) AS rn
+  FROM located l JOIN gc g ON g.category = l.issue_category AND {_LG} <= 8 WHERE l.id NOT IN (SELECT id FROM first_pass)) x WHERE rn = 1),
+grouped AS (SELECT * FROM first_pass UNION ALL SELECT l.*, t.group_id FROM located l JOIN late t ON t.id = l.id),
+centres AS (SELECT group_id, min(issue_category) AS category, avg(lat) AS lat, avg(lon) AS lon, count(*) AS report_count FROM grouped GROUP BY group_id)"""
+
 register("pip_03_demand_clusters", "PIP-03", "id:i group_id:i",
-         lambda v: recompute.demand_clusters(v.located, vectors(v)))
+         lambda v: recompute.demand_clusters(v.located, vectors(v)), f"WITH {FOUND} SELECT id, group_id FROM grouped", "located")
+
+RANKED_VIEWS = "located village_records works schemes water_tests employment stations readings alerts photo_rows places"
+RANKED = f"""WITH {FOUND}, {INPUTS}, nine AS ({S.score_sql('ready', 'group_id, category, reporters, people', 'severity_mean')}),
+dst AS (SELECT group_id, district FROM (SELECT group_id, district, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, min(id)) AS rn
+  FROM grouped WHERE district <> '' GROUP BY 1, 2) WHERE rn = 1)
+SELECT row_number() OVER (ORDER BY priority_score DESC, nine.group_id) AS rank, lead(nine.group_id) OVER (ORDER BY priority_score DESC, nine.group_id) AS runner_up_cluster_id,
+  nine.group_id AS cluster_id, nine.* EXCLUDE (group_id), dst.district FROM nine LEFT JOIN dst ON dst.group_id = nine.group_id"""
 
 
-@query("ranked_clusters", "PIP-17", f"rank:i cluster_id:i category:s district:s reporters:i people:i {NINE} priority_score:d runner_up_cluster_id:i")
+@query("ranked_clusters", "PIP-17", f"rank:i cluster_id:i category:s district:s reporters:i people:i {NINE} priority_score:d runner_up_cluster_id:i",
+       RANKED, RANKED_VIEWS)
 def ranked(v):
     _, clusters = recompute.scored_clusters(v.located, vectors(v), registers(v), AS_OF)
     return clusters.withColumnRenamed("group_id", "cluster_id")

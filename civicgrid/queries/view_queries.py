@@ -276,7 +276,22 @@ def sentences(v):
         evidence.employment_catchment_sentence().alias("employment"))
 
 
-@query("txt_13_record_sentences", "TXT-13", "place_id:i finance:s employment:s")
+def _ru(x: str) -> str:
+    return "'₹' || format('{:,.0f}', CAST(" + x + " AS DOUBLE))"
+
+
+_FIN_SQL = f"""SELECT place_id, 'FY ' || fin_year || ': untied grant ' || coalesce({_ru('untied_receipts')}, '₹0') || ' received, ' || coalesce({_ru('untied_payments')}, '₹0') || ' spent'
+  || coalesce(CASE WHEN untied_receipts > 0 THEN ' (' || format('{{:.0f}}', least(100e0, untied_payments / untied_receipts * 100)) || '% utilised)' END, '')
+  || '; tied grant ' || coalesce({_ru('tied_receipts')}, '₹0') || ' received, ' || coalesce({_ru('tied_payments')}, '₹0') || ' spent.' AS finance
+  FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY fin_year DESC, id DESC) AS rn FROM finance) WHERE rn = 1"""
+_JOB_SQL = """SELECT place_id, 'FY ' || fin_year || ': ' || coalesce('MGNREGA expenditure ₹' || format('{:,.2f}', total_lakh) || ' lakh', '') || ' (wages ₹' || format('{:,.2f}', wages_lakh)
+  || ' lakh [60%], material ₹' || format('{:,.2f}', material_lakh) || ' lakh [40%]).' AS employment
+  FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY fin_year DESC, id DESC) AS rn FROM employment) WHERE rn = 1"""
+
+
+@query("txt_13_record_sentences", "TXT-13", "place_id:i finance:s employment:s",
+       f"SELECT coalesce(f.place_id, j.place_id) AS place_id, f.finance, j.employment FROM ({_FIN_SQL}) f FULL JOIN ({_JOB_SQL}) j ON j.place_id = f.place_id",
+       "finance employment")
 def record_sentences(v):
     fin = lookup.latest_by(v.finance, ["place_id"], ["fin_year", "id"]).select("place_id", evidence.finance_sentence().alias("finance"))
     job = lookup.latest_by(v.employment, ["place_id"], ["fin_year", "id"]).withColumns({
@@ -284,7 +299,13 @@ def record_sentences(v):
     return fin.join(job, "place_id", "full")
 
 
-@query("txt_13_school_sentences", "TXT-13", "facility_id:i sentence:s")
+@query("txt_13_school_sentences", "TXT-13", "facility_id:i sentence:s",
+       f"""WITH {SCHOOLS} SELECT facility_id, concat_ws('; ',
+             CASE WHEN teachers_regular IS NOT NULL OR teachers_contract IS NOT NULL THEN cast(coalesce(teachers_regular, 0) + coalesce(teachers_contract, 0) AS VARCHAR)
+               || CASE WHEN coalesce(teachers_regular, 0) + coalesce(teachers_contract, 0) = 1 THEN ' teacher' ELSE ' teachers' END || ' (2023-24)' END,
+             concat_ws(', ', cast(classrooms_total - classrooms_major_repair AS VARCHAR) || ' of ' || cast(classrooms_total AS VARCHAR) || ' classrooms good',
+               CASE WHEN classrooms_major_repair > 0 THEN cast(classrooms_major_repair AS VARCHAR) || CASE WHEN classrooms_major_repair = 1 THEN ' needs' ELSE ' need' END || ' major repair' END),
+             nullif(concat_ws(', ', 'grant ' || {_ru('total_grant')}, 'spent ' || {_ru('total_expenditure')}), '')) || '.' AS sentence FROM schools""", "school_rows")
 def school_sentences(v):
     from ..operators.catchment import latest_school_rows
 
@@ -374,7 +395,13 @@ def village_detail(v):
     return views.village_detail(owned(v), a)
 
 
-@query("vw_08_asset_detail", "VW-08", "place_id:i asset_id:i rank_in_village:i photos:i worst:s")
+@query("vw_08_asset_detail", "VW-08", "place_id:i asset_id:i rank_in_village:i photos:i worst:s",
+       f"""WITH ga AS ({GIVEN_SQL}), ph AS (SELECT g.group_id AS asset_id, count(*) AS photos, arg_max(damage_grade, struct_pack(
+             g := CASE damage_grade WHEN 'crack' THEN 1 WHEN 'partial' THEN 2 ELSE 3 END, c := coalesce(damage_confidence, 0), i := -attachment_id))
+             FILTER (authenticity IS NOT NULL AND damage_grade <> '' AND damage_structure <> '') AS worst FROM photo_rows p JOIN grouped g ON g.id = p.report_id GROUP BY 1)
+           SELECT place_id, p.asset_id, row_number() OVER (PARTITION BY place_id ORDER BY priority_score DESC, p.asset_id) AS rank_in_village, ph.photos, ph.worst
+           FROM (SELECT DISTINCT place_id, group_id AS asset_id FROM grouped) p JOIN ga USING (asset_id) LEFT JOIN ph ON ph.asset_id = p.asset_id""",
+       "grouped centres photo_rows")
 def asset_detail(v):
     from ..operators import photos
 
