@@ -131,7 +131,7 @@ def demand_groups(reports: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     Noise is left out. The gate never binds while eps is smaller, because the distance is at least the kilometres.
     """
     radius = min(cfg.eps_km, cfg.gate_km)
-    rows = reports.filter(F.col("category").isNotNull()).withColumn("vec", F.coalesce("vec", F.array().cast("array<float>")))
+    rows = reports.filter(F.col("category").isNotNull())
     roots = density_groups(rows, ["category"], radius, cfg.min_samples, "vec", cfg.semantic_km)
     return roots.join(rows.select("id", "category"), "id").select("id", "category", F.col("root").alias("cluster_id"))
 

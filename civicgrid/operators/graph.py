@@ -17,32 +17,33 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
 
     Every round points a node at its smallest neighbour, follows the pointers twice, and contracts the edges to the
     roots reached. Contracted edges are deduplicated, so the table shrinks each round and a hub costs one row per
-    neighbour at most.
+    neighbour at most. The pointers of all rounds are followed once at the end.
     """
-    roots = nodes.select(F.col(node), F.col(node).alias("root"))
     live = edges.select("src", "dst").filter("src <> dst")
     live = checkpoint(live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    steps = []
     while not live.isEmpty():
         up = live.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("up"))
         for _ in range(2):
             jump = up.select(F.col("src").alias("up"), F.col("up").alias("_next"))
             up = up.join(jump, "up", "left").select("src", F.coalesce("_next", "up").alias("up"))
         up = checkpoint(up)
-        roots = checkpoint(
-            roots.join(up.withColumnRenamed("src", "root"), "root", "left")
-            .select(node, F.coalesce("up", "root").alias("root")))
+        steps.append(up)
         a = up.select("src", F.col("up").alias("a"))
         b = up.select(F.col("src").alias("dst"), F.col("up").alias("b"))
         live = checkpoint(
             live.join(a, "src").join(b, "dst").filter("a <> b")
             .select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-    return roots
+    roots = nodes.select(F.col(node), F.col(node).alias("root"))
+    for up in steps:
+        roots = roots.join(up.withColumnRenamed("src", "root"), "root", "left").select(
+            node, F.coalesce("up", "root").alias("root"))
+    return checkpoint(roots) if steps else roots
 
 
 def dot(u: Column, v: Column) -> Column:
-    """Inner product; a missing element counts as zero."""
-    products = F.zip_with(u, v, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0)))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    """Inner product of two ``array<double>``; vectors of different length have none and count as zero."""
+    return F.coalesce(F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
 def unit_vector(v: Column) -> Column:
@@ -58,8 +59,9 @@ def pair_distance(km: Column, u: Column | None, v: Column | None, semantic_km: f
     return km + F.lit(semantic_km) * (F.lit(1.0) - dot(u, v))
 
 
-PROBES = 3
-PROBE_CELLS = 6
+# Probe points per cell, and cells per eps. They change the cost only.
+PROBES = 1
+PROBE_CELLS = 3
 
 
 def density_groups(
@@ -87,6 +89,8 @@ def density_groups(
     key = list(key)
     vec = [vector] if vector else []
     same = [*key, "lat", "lon", *vec]
+    for v in vec:
+        points = points.withColumn(v, F.coalesce(F.col(v), F.array().cast("array<double>")).cast("array<double>"))
     pts = checkpoint(
         points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(*same)
         .agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w")))
@@ -105,12 +109,10 @@ def density_groups(
     # 2. probes: the points with the smallest hashes of each cell
     step = eps_km / PROBE_CELLS / KM_PER_DEGREE
     cell = [F.floor(F.col("lat") / step).alias("_py"), F.floor(F.col("lon") / step).alias("_px")]
-    whole = F.struct("pid", "w", "lat", "lon", *vec)
-    picks = pts.groupBy(*key, *cell).agg(
-        *[F.min_by(whole, F.xxhash64("pid", F.lit(i))).alias(f"_s{i}") for i in range(PROBES)])
-    probes = (
-        picks.select(*key, F.explode(F.array(*[f"_s{i}" for i in range(PROBES)])).alias("_s"))
-        .select(*key, "_s.*").dropDuplicates(["pid"]))
+    picks = pts.select(*key, "pid", *cell).groupBy(*key, "_py", "_px").agg(
+        *[F.min_by("pid", F.xxhash64("pid", F.lit(i))).alias(f"_s{i}") for i in range(PROBES)])
+    chosen = picks.select(F.explode(F.array(*[f"_s{i}" for i in range(PROBES)])).alias("pid")).distinct()
+    probes = checkpoint(pts.join(chosen, "pid"))
     near = checkpoint(neighbours(pts, other(probes)).select("pid", "q_pid", "q_w"))
     known = near.groupBy("pid").agg(F.sum("q_w").alias("_n"))
     proven = pts.join(known, "pid", "left").withColumn(

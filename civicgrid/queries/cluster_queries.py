@@ -100,7 +100,7 @@ def named(v):
 
 register(
     "clu_05_unit_vectors", "CLU-05", "vec_id:i length:d first:d",
-    lambda v: v.embeddings.select("vec_id", unit_vector(F.transform("embedding", lambda x: x * 3)).alias("u")).select(
+    lambda v: v.embeddings.select("vec_id", unit_vector(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("u")).select(
         "vec_id", F.sqrt(dot(C("u"), C("u"))).alias("length"), F.element_at("u", 1).alias("first")),
     """SELECT vec_id, 1e0 AS length, CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS first
        FROM embeddings""")

@@ -351,7 +351,7 @@ def gated_pairs(v):
 def report_vectors(v):
     """Reports with category, point and a stored vector (event id modulo the number of vectors)."""
     n = v.embeddings.count()
-    vectors = v.embeddings.select(C("vec_id").alias("vid"), C("embedding").alias("vec"))
+    vectors = v.embeddings.select(C("vec_id").alias("vid"), C("embedding").cast("array<double>").alias("vec"))
     return v.located.filter("issue_category is not null").withColumn("vid", C("id") % n).join(vectors, "vid").select(
         "id", C("issue_category").alias("category"), "lat", "lon", "vec")
 
