@@ -104,7 +104,8 @@ def density_groups(
     def neighbours(left: DataFrame, right: DataFrame, radius: float = eps_km) -> DataFrame:
         pairs = radius_join(left, right, radius, on=key).filter("pid <> q_pid")
         gap = pair_distance(F.col("km"), F.col(vector) if vec else None, F.col("q_vec") if vec else None, semantic_km)
-        return pairs.filter(gap <= eps_km).drop("q_vec", *vec)
+        # The optimizer may test the filters of a join in any order; the case keeps vectors out of far pairs.
+        return pairs.filter(F.when(F.col("km") <= radius, gap <= eps_km)).drop("q_vec", *vec)
 
     # 2. probes: the points with the smallest hashes of each cell
     step = eps_km / PROBE_CELLS / KM_PER_DEGREE
@@ -139,7 +140,7 @@ def density_groups(
     cross = lhs.join(rhs, [*key, "q__cy", "q__cx", "q_root"])
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     gap = pair_distance(km, F.col(vector) if vec else None, F.col("q_vec") if vec else None, semantic_km)
-    bridges = cross.filter(km <= eps_km).filter(gap <= eps_km).select(
+    bridges = cross.filter(F.when(km <= eps_km, gap <= eps_km)).select(
         F.col("root").alias("src"), F.col("q_root").alias("dst")).distinct()
     joined = components(placed.select(F.col("root").alias("node")).distinct(), bridges, "node")
     final = checkpoint(

@@ -50,10 +50,14 @@ def scenario_items(items: DataFrame, scenarios: DataFrame) -> DataFrame:
     both = whole.unionByName(local, allowMissingColumns=True).filter("units <= capacity")
     worth = F.when(C("objective") == "population", C("people").cast("double")).otherwise(C("priority_score"))
     both = both.withColumn("worth", worth).filter("worth > 0")
-    w = Window.partitionBy("scenario", "units").orderBy(C("worth").desc(), "asset_id")
-    # The fixed limit lets Spark cut each partition before the shuffle; the exact one follows.
-    return both.withColumn("_rn", F.row_number().over(w)).filter(C("_rn") <= F.floor(C("capacity") / C("units"))).drop(
-        "_rn")
+    limit = F.floor(C("capacity") / C("units"))
+    order = [C("worth").desc(), C("asset_id")]
+    # Many assets may share one cost: every bucket first keeps its own best, then the survivors meet.
+    both = salted(both, C("asset_id"), BUCKETS)
+    for group in (["scenario", "units", "_salt"], ["scenario", "units"]):
+        w = Window.partitionBy(*group).orderBy(*order)
+        both = both.withColumn("_rn", F.row_number().over(w)).filter(C("_rn") <= limit)
+    return both.drop("_rn", "_salt")
 
 
 def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
