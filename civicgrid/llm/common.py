@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +45,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
+    """1, base, base^2 ... modulo 2^64; kept for the next call."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
         with np.errstate(over="ignore"):
-            out[1:] = np.uint64(base)
             np.multiply.accumulate(out, out=out)
-    return out
+        _POWERS[base] = out
+    return _POWERS[base][:n]
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,3 +73,15 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         np.cumsum(_BYTE[data] * powers(_BASE, len(data)), dtype=np.uint64, out=total[1:])
         back = powers(_INVERSE, len(data) + 1)
         return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def batches_by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``limit`` bytes each; a larger row is a range of its own."""
+    start = size = 0
+    for at, n in enumerate(sizes):
+        if at > start and size + n > limit:
+            yield start, at
+            start, size = at, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -6,19 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import near_duplicates, quality, token_counts
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.decide(quality.ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "kept", "failed")
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES: dict[str, Build] = {f.__name__: f for f in (
+    op5_minhash_near_dedup, op6_token_counts, op10_quality_rules)}
 
 _MEASURED = r"""
     words AS (
