@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, quality, token_counts
+from . import near_duplicates, packing, quality, token_counts
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op5_minhash_near_dedup, op6_token_counts, op10_quality_rules)}
+    op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op10_quality_rules)}
 
 _MEASURED = r"""
     words AS (
