@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
 from ..operators.state import checkpoint
 from .common import batches_by_bytes, mix, span_hashes, word_spans
+from .grouping import grouped
 
 C = F.col
 SHINGLE = 5
@@ -214,47 +214,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
     return both.mapInArrow(run, f"src {kind}, dst {kind}")
 
 
-def _first(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(C(key).alias("id"), F.coalesce(C(text), F.lit("")).cast("binary").alias("t"))
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """key, ``n_shingles``, ``component_id`` (smallest key reachable over links), ``kept`` (key is its component's id)."""
     signed = checkpoint(signatures(docs, key, text))
     full = signed.filter("n > 0")
     classes = checkpoint(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     reps = full.join(classes.select(C("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    entries = checkpoint(reps.select("id", "n", F.explode("bands").alias("bucket")))
-    hubs = entries.groupBy("bucket").agg(
+    filed = checkpoint(reps.select("id", "n", F.explode("bands").alias("bucket")))
+    hubs = filed.groupBy("bucket").agg(
         F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    fits = "src <> dst AND 100 * least(n, other_n) >= {} * greatest(n, other_n)".format(percent)
-    shared = checkpoint(entries.join(hubs, "bucket").select("id", "n", "bucket", "hub", "hub_n"))
-    stars = shared.select(C("hub").alias("src"), C("id").alias("dst"), "n", C("hub_n").alias("other_n")).filter(
-        fits).select("src", "dst").distinct()
-    stars = checkpoint(stars)
-    texts = _first(docs, key, text)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(C("src").alias("id")).union(pairs.select(C("dst").alias("id"))).distinct()
-        held = checkpoint(texts.join(used, "id", "left_semi").dropDuplicates(["id"]))
-        return checkpoint(confirmed(pairs, held, percent))
-
-    nodes = classes.select(C("rep").alias("node"))
-    links = linked(stars)
-    roots = components(nodes, links)
-
-    # buckets that still hold several components, member by member across them
-    placed = shared.join(roots.withColumnRenamed("node", "id"), "id").select("id", "n", "bucket", "root")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    alive = checkpoint(placed.join(split.select("bucket"), "bucket", "left_semi"))
-    other = alive.select("bucket", C("id").alias("dst"), C("n").alias("other_n"), C("root").alias("other_root"))
-    rest = alive.withColumnRenamed("id", "src").join(other, "bucket").filter("src < dst AND root <> other_root").filter(
-        fits).select("src", "dst").distinct()
-    rest = checkpoint(rest.join(stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")),
-                                ["src", "dst"], "left_anti"))
-    late = linked(rest)
-    roots = components(nodes, links.union(late))
+    entries = checkpoint(filed.join(hubs.drop("k"), "bucket"))
+    texts = docs.select(C(key).alias("id"), F.coalesce(C(text), F.lit("")).cast("binary").alias("t"))
+    used = checkpoint(entries.select("id").distinct())
+    held = checkpoint(texts.join(used, "id", "left_semi").dropDuplicates(["id"]))
+
+    def possible(a: str, b: str):
+        return 100 * F.least(a + "n", b + "n") >= percent * F.greatest(a + "n", b + "n")
 
+    roots = grouped(classes.select(C("rep").alias("node")), entries,
+                    lambda pairs: confirmed(pairs, held, percent), possible, ("n",))
     member = signed.join(classes, ["d1", "d2", "n"], "left").select("id", "n", "rep")
     out = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         C("id").alias(key), C("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))

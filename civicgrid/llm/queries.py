@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing, quality, token_counts
+from . import line_duplicates, near_duplicates, packing, quality, token_counts
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.decide(quality.ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -31,7 +35,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op10_quality_rules)}
+    op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
+    op10_quality_rules)}
 
 _MEASURED = r"""
     words AS (
