@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_duplicates, near_duplicates, packing, quality, token_counts
+from . import language, line_duplicates, near_duplicates, packing, quality, token_counts, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_duplicates.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.decide(quality.ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -35,8 +43,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
-    op10_quality_rules)}
+    op1_toxicity, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
+    op9_language_id, op10_quality_rules)}
 
 _MEASURED = r"""
     words AS (
