@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_duplicates, near_duplicates, packing, quality, token_counts, toxicity
+from . import language, line_duplicates, near_duplicates, neighbours, packing, quality, token_counts, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_duplicates.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
-    op9_language_id, op10_quality_rules)}
+    op8_nearest_neighbours, op9_language_id, op10_quality_rules)}
 
 _MEASURED = r"""
     words AS (
