@@ -1,8 +1,9 @@
 """Groups of similar items from buckets of candidates, without comparing a crowded bucket with itself.
 
-Two passes over the buckets, both exact on the candidates:
-1. every member is compared with its bucket's hub only, which joins a group of copies by one comparison per copy;
-2. buckets that still hold members of different components are compared member by member, across components only.
+Two passes, together exact on the candidates:
+1. every member is compared with its bucket's hub only, the member that shares most places with others, which joins a
+   group of copies around their original by one comparison per copy;
+2. members of buckets that still hold several components go to a second, narrower search for pairs across components.
 A pair left out shares a component already, so it cannot change the result.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -19,27 +20,36 @@ from ..operators.state import checkpoint
 C = F.col
 
 
+def with_hubs(filed: DataFrame) -> DataFrame:
+    """``bucket``, ``id``, ``hub`` from (bucket, id): buckets of one member are left out.
+
+    The hub is the member whose buckets are largest in sum.
+    """
+    sizes = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = checkpoint(filed.join(sizes, "bucket"))
+    weight = shared.groupBy("id").agg(F.sum("k").alias("w"))
+    hubs = shared.join(weight, "id").groupBy("bucket").agg(
+        F.max(F.struct("w", F.xxhash64("id").alias("h"), "id")).alias("m"))
+    return shared.select("bucket", "id").join(hubs.select("bucket", C("m.id").alias("hub")), "bucket")
+
+
 def grouped(nodes: DataFrame, entries: DataFrame, confirm: Callable[[DataFrame], DataFrame],
-            possible: Callable[[str, str], Column], carried: tuple[str, ...] = ()) -> DataFrame:
+            across: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node``, ``root`` (the smallest node of its group).
 
-    ``nodes``: ``node``. ``entries``: ``bucket``, ``id``, ``hub`` and ``carried`` columns of the id, with the hub's as
-    ``hub_`` + name; one row per bucket and member. ``possible(a, b)`` is a cheap test that a pair may be similar, on
-    carried columns with those prefixes. ``confirm`` keeps the truly similar pairs of (src, dst).
+    ``nodes``: ``node``. ``entries``: ``bucket``, ``id``, ``hub``, one row per bucket and member. ``confirm`` keeps the truly
+    similar pairs of (src, dst). ``across`` makes, of the rows (bucket, id, root) of the buckets that hold several roots,
+    the pairs (src, dst) that may still be similar.
     """
     ends = [F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")]
-    stars = checkpoint(entries.filter((C("id") != C("hub")) & possible("", "hub_")).select(*ends).distinct())
+    stars = checkpoint(entries.filter("id <> hub").select(*ends).distinct())
     near = checkpoint(confirm(stars))
     roots = components(nodes, near)
-    placed = entries.select("bucket", "id", *carried).join(roots.withColumnRenamed("node", "id"), "id")
+    placed = entries.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id")
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     alive = checkpoint(placed.join(split.select("bucket"), "bucket", "left_semi"))
-    other = alive.select("bucket", C("id").alias("dst"), C("root").alias("other_root"),
-                         *[C(c).alias("other_" + c) for c in carried])
-    rest = alive.withColumnRenamed("id", "src").join(other, "bucket").filter(
-        (C("src") < C("dst")) & (C("root") != C("other_root")) & possible("", "other_")).select("src", "dst").distinct()
-    rest = checkpoint(rest.join(stars, ["src", "dst"], "left_anti"))
-    late = checkpoint(confirm(rest))
+    rest = across(alive).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    late = checkpoint(confirm(checkpoint(rest.join(stars, ["src", "dst"], "left_anti"))))
     if late.isEmpty():
         return roots
     # the groups so far are the nodes of the second pass

@@ -292,11 +292,14 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
         both = pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b")
         return both.mapInArrow(run, "src bigint, dst bigint")
 
-    bags = lines.select("id", "x", "y")
-    hub_bags = bags.select(C("id").alias("hub"), C("x").alias("hub_x"), C("y").alias("hub_y"))
-    entries = checkpoint(shared.distinct().join(bags, "id").join(hub_bags, "hub"))
-    roots = grouped(used.withColumnRenamed("id", "node"), entries, confirm,
-                    lambda a, b: _near_bags(a, b, edits), ("x", "y"))
+    def across(alive: DataFrame) -> DataFrame:
+        some = alive.join(lines.select("id", "x", "y"), "id")
+        other = some.select("bucket", *[C(c).alias("other_" + c) for c in ("id", "root", "x", "y")])
+        pairs = some.join(other, "bucket").filter(
+            (C("id") < C("other_id")) & (C("root") != C("other_root")) & _near_bags("", "other_", edits))
+        return pairs.select(C("id").alias("src"), C("other_id").alias("dst"))
+
+    roots = grouped(used.withColumnRenamed("id", "node"), checkpoint(shared.distinct()), confirm, across)
     firsts = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"))
     firsts = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("root", "id").alias("root"), "first")

@@ -9,9 +9,10 @@ Method
   the method and gives the same signature as walking on.
 * Bands of ``ROWS`` places meet in buckets. With 32 bands of 4, a pair at similarity 0.75 shares no bucket with
   probability 5e-6, one at 0.8 with 5e-8.
-* Members of a bucket are first compared with the bucket's smallest member only, which joins a large group of copies by
-  as many comparisons as it has members. Only buckets that still hold members of different components are then compared
-  member by member across components, so no link that could change a component is left out.
+* Members of a bucket are first compared with the bucket's hub only, the member with most company over all its buckets:
+  copies meet their original there. Members of buckets that then still hold several components are searched once more for
+  pairs across components, by an exact prefix filter on their full sets: the rarest quarter of the shingles of one must
+  meet that of the other. Variants too far from each other share none of these, however many there are.
 * Every link is confirmed on the full sets, from whole texts.
 
 Null or empty texts and texts without a word have an empty set and stay alone. Repeated rows of one key give one row per
@@ -27,10 +28,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.state import checkpoint
 from .common import batches_by_bytes, mix, span_hashes, word_spans
-from .grouping import grouped
+from .grouping import grouped, with_hubs
 
 C = F.col
 SHINGLE = 5
@@ -214,25 +216,54 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
     return both.mapInArrow(run, f"src {kind}, dst {kind}")
 
 
+def prefix_pairs(items: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+    """Pairs (src, dst) of ``items`` (id, root) of different roots that may reach the similarity.
+
+    With shingles in one order for all, rarest first, two sets that reach it share one among the first
+    n - ceil(percent * n / 100) + 1 of either.
+    """
+    kind = dict(items.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi in batches_by_bytes(pc.binary_length(whole.column(2)).to_pylist(), BYTES):
+                part = whole.slice(lo, hi - lo)
+                h, bounds = shingle_hashes(part.column(2).to_pylist())
+                size = np.diff(bounds)
+                row = pa.array(np.repeat(np.arange(len(size)), size))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(row), part.column(1).take(row), pa.array(np.repeat(size, size).astype(np.int64)),
+                     pa.array(h.view(np.int64))], names=["id", "root", "n", "h"])
+
+    sets = checkpoint(items.join(texts, "id").select("id", "root", "t").mapInArrow(
+        run, f"id {kind}, root {kind}, n bigint, h bigint"))
+    seen = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rarest = Window.partitionBy("id").orderBy("c", "h")
+    first = C("n") - F.ceil(C("n") * percent / 100) + 1
+    prefix = sets.join(seen, "h").withColumn("_r", F.row_number().over(rarest)).filter(
+        (C("_r") <= first) & (C("lo") < C("hi"))).select("id", "root", "n", "h")
+    prefix = checkpoint(prefix)
+    other = prefix.select("h", C("id").alias("dst"), C("root").alias("other"), C("n").alias("m"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = prefix.withColumnRenamed("id", "src").join(other, "h").filter(
+        (C("src") < C("dst")) & (C("root") != C("other")) & fits)
+    return pairs.select("src", "dst")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """key, ``n_shingles``, ``component_id`` (smallest key reachable over links), ``kept`` (key is its component's id)."""
     signed = checkpoint(signatures(docs, key, text))
     full = signed.filter("n > 0")
     classes = checkpoint(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     reps = full.join(classes.select(C("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    filed = checkpoint(reps.select("id", "n", F.explode("bands").alias("bucket")))
-    hubs = filed.groupBy("bucket").agg(
-        F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    entries = checkpoint(filed.join(hubs.drop("k"), "bucket"))
+    filed = checkpoint(reps.select("id", F.explode("bands").alias("bucket")))
+    entries = checkpoint(with_hubs(filed))
     texts = docs.select(C(key).alias("id"), F.coalesce(C(text), F.lit("")).cast("binary").alias("t"))
     used = checkpoint(entries.select("id").distinct())
     held = checkpoint(texts.join(used, "id", "left_semi").dropDuplicates(["id"]))
+    roots = grouped(classes.select(C("rep").alias("node")), entries, lambda pairs: confirmed(pairs, held, percent),
+                    lambda alive: prefix_pairs(alive.select("id", "root").distinct(), held, percent))
 
-    def possible(a: str, b: str):
-        return 100 * F.least(a + "n", b + "n") >= percent * F.greatest(a + "n", b + "n")
-
-    roots = grouped(classes.select(C("rep").alias("node")), entries,
-                    lambda pairs: confirmed(pairs, held, percent), possible, ("n",))
     member = signed.join(classes, ["d1", "d2", "n"], "left").select("id", "n", "rep")
     out = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         C("id").alias(key), C("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
