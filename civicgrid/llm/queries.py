@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_duplicates, near_duplicates, neighbours, packing, quality, token_counts, toxicity
+from . import html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, quality, token_counts, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice_sampling.segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+    return found.select("doc_id", "sample", "n_ids", "ids_crc32", "log_p", "perturbed", "log_inclusion", "decodes")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -47,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op1_toxicity, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
+    op1_toxicity, op2_html_extraction, op3_sentencepiece_sampling, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
     op8_nearest_neighbours, op9_language_id, op10_quality_rules)}
 
 _MEASURED = r"""
