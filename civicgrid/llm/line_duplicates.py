@@ -325,4 +325,4 @@ def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows = rows.withColumn("_new", new)
     empty = C("_gone").isNotNull() & ~C("_new").rlike(r"[^\x20\x09-\x0D]")
     return rows.filter(~empty).select(
-        *[C("_new").alias(c) if c == text else C(f"row.{c}").alias(c) for c in docs.columns])
+        *[C("_new").alias(c) if c == text else C(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -220,7 +220,7 @@ def prefix_pairs(items: DataFrame, texts: DataFrame, percent: int = 75) -> DataF
     """Pairs (src, dst) of ``items`` (id, root) of different roots that may reach the similarity.
 
     With shingles in one order for all, rarest first, two sets that reach it share one among the first
-    n - ceil(percent * n / 100) + 1 of either.
+    n - ceil(percent * n / 100) + 1 of either, and their first common one leaves room for as many as they need in common.
     """
     kind = dict(items.dtypes)["id"]
 
@@ -240,11 +240,13 @@ def prefix_pairs(items: DataFrame, texts: DataFrame, percent: int = 75) -> DataF
     seen = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rarest = Window.partitionBy("id").orderBy("c", "h")
     first = C("n") - F.ceil(C("n") * percent / 100) + 1
-    prefix = sets.join(seen, "h").withColumn("_r", F.row_number().over(rarest)).filter(
-        (C("_r") <= first) & (C("lo") < C("hi"))).select("id", "root", "n", "h")
+    prefix = sets.join(seen, "h").withColumn("r", F.row_number().over(rarest)).filter(
+        (C("r") <= first) & (C("lo") < C("hi"))).select("id", "root", "n", "h", "r")
     prefix = checkpoint(prefix)
-    other = prefix.select("h", C("id").alias("dst"), C("root").alias("other"), C("n").alias("m"))
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    other = prefix.select("h", C("id").alias("dst"), C("root").alias("other"), C("n").alias("m"), C("r").alias("s"))
+    # with the first common shingle at places r and s, no more than what follows can be common
+    both = percent * (C("n") + C("m"))
+    fits = ((100 + percent) * (C("n") - C("r") + 1) >= both) & ((100 + percent) * (C("m") - C("s") + 1) >= both)
     pairs = prefix.withColumnRenamed("id", "src").join(other, "h").filter(
         (C("src") < C("dst")) & (C("root") != C("other")) & fits)
     return pairs.select("src", "dst")
@@ -268,3 +270,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     out = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         C("id").alias(key), C("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", C(key) == C("component_id"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The documents with the smallest key of their group, with their own columns, whatever their names.
+
+    Documents with an empty set stay. Repeated rows of one key stay or go together.
+    """
+    gone = near_duplicates(docs, key, text, percent).filter("NOT kept").select(C(key).alias("_gone")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("_key"))
+    left = rows.join(gone, rows["_key"] == gone["_gone"], "left_anti")
+    return left.select(*[C(f"row.`{c}`").alias(c) for c in docs.columns])
