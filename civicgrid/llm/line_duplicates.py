@@ -278,7 +278,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     places = checkpoint(_places(rows, least, kind))
     shared = checkpoint(_shared(_entries(rows, least, edits)))
     used = checkpoint(shared.select("id").distinct())
-    lines = checkpoint(_texts(rows, least).join(used, "id", "left_semi").dropDuplicates(["id"]))
+    lines = checkpoint(_texts(rows, least).join(used.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
