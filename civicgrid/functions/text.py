@@ -141,15 +141,17 @@ def with_location_phrase(df: DataFrame, text: str, name: str = "location_raw") -
     return staged.withColumn(name, found).drop("_words", "_windows")
 
 
-# Someone naming themselves: possessive, "name", an optional verb, one or two names.
-# The look-ahead keeps the sentence's verb out of the name.
-_NAME_WORD = rf"(?:[A-Z][a-zA-Z]*|(?!आहे|आहेत|है|हैं)[{vocab.DEVANAGARI}]+)"
-SELF_NAMING = (
-    rf"((?i:{START}(?:mera|meraa|maza|majha|mazha|my){END})\s+|मेरा\s+|मेरे\s+|माझं\s+|माझे\s+|माझ्या\s+)"
-    rf"((?i:{START}(?:naam|naav|nam|name){END})|नाम|नाव)"
-    r"((?i:\s+(?:is|hai|aahe|ahe))|\s+है|\s+आहे)?\s+"
-    rf"{_NAME_WORD}(?:\s+{_NAME_WORD})?"
-)
+def self_naming(name_word: str, start: str = START, end: str = END) -> str:
+    """Pattern of someone giving one or two names; the three groups are what stays."""
+    whose = "|".join(w + r"\s+" for w in vocab.SELF_POSSESSIVE_DEVANAGARI)
+    verb = "|".join(r"\s+" + w for w in vocab.SELF_VERB_DEVANAGARI)
+    return (rf"((?i:{start}(?:{vocab.SELF_POSSESSIVE}){end})\s+|{whose})"
+            rf"((?i:{start}(?:{vocab.SELF_NOUN}){end})|{vocab.SELF_NOUN_DEVANAGARI})"
+            rf"((?i:\s+(?:{vocab.SELF_VERB}))|{verb})?\s+{name_word}(?:\s+{name_word})?")
+
+
+# The look-ahead keeps the verb of a sentence out of the name.
+SELF_NAMING = self_naming(rf"(?:[A-Z][a-zA-Z]*|(?!{vocab.NOT_A_NAME})[{vocab.DEVANAGARI}]+)")
 
 
 def redact(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..config import DEFAULTS, Settings
 from ..functions.rounding import clamp01, portable_round
 from .lookup import latest_by
+from .ranking import quantile
 from .spatial import radius_join
 
 C = F.col
@@ -283,9 +284,9 @@ def top_array(df: DataFrame, key: str, order: list[Column], item: Column, n: int
 def cost_per_km(works: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Median sanctioned cost per kilometre over priced works, when at least five are priced."""
     priced = works.filter("place_id is not null and cost_lakh > 0 and length_km > 0")
-    return priced.agg(
-        F.median(C("cost_lakh") / C("length_km")).alias("_m"), F.count(F.lit(1)).alias("works_sampled")
-    ).filter("works_sampled >= 5").select(portable_round(C("_m"), 2).alias("median_lakh_per_km"), "works_sampled")
+    middle = quantile(priced, C("cost_lakh") / C("length_km"), 0.5, "_m").withColumn("_one", F.lit(1))
+    sampled = priced.agg(F.count(F.lit(1)).alias("works_sampled")).filter("works_sampled >= 5").withColumn("_one", F.lit(1))
+    return sampled.join(middle, "_one").select(portable_round(C("_m"), 2).alias("median_lakh_per_km"), "works_sampled")
 
 
 def headquarters_distance(centres: DataFrame, places: DataFrame) -> DataFrame:

@@ -38,3 +38,14 @@ def with_next(df: DataFrame, rank: str, value: str, name: str) -> DataFrame:
     """``value`` of the row one rank further down."""
     after = df.select((C(rank) - 1).alias(rank), C(value).alias(name))
     return df.join(after, rank, "left")
+
+
+def quantile(df: DataFrame, value: Column, share: float, name: str) -> DataFrame:
+    """One row: the exact quantile, between two neighbours in proportion; NULL values do not count, none gives NULL."""
+    known = df.select(value.cast("double").alias("_x")).filter("_x is not null")
+    total = known.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    at = global_rank(known, [C("_x")], "_rank").withColumn("_one", F.lit(1)).join(total, "_one").withColumn(
+        "_at", F.lit(share) * (C("_n") - 1))
+    low = F.floor("_at")
+    weight = F.when(C("_rank") - 1 == low, low + 1 - C("_at")).when(C("_rank") - 2 == low, C("_at") - low)
+    return at.agg(F.sum(weight * C("_x")).alias(name))

@@ -14,7 +14,6 @@ from ..operators.state import salted, spread
 
 C = F.col
 OBJECTIVES = ("population", "priority")
-MAX_TABLE_CELLS = 4_000_000_000
 BUCKETS = 32
 
 
@@ -60,25 +59,73 @@ def scenario_items(items: DataFrame, scenarios: DataFrame) -> DataFrame:
     return both.drop("_rn", "_salt")
 
 
+def _settled(units: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Items that every best choice takes, and items that none takes.
+
+    A greedy choice gives a value that can be reached. An item is settled when forcing it the other way bounds the value,
+    by filling up with parts of items in order of value per unit, below that.
+    """
+    order = np.argsort(-worth / units, kind="stable")
+    u, w = units[order].astype(float), worth[order]
+    fill, value = np.concatenate(([0], np.cumsum(u))), np.concatenate(([0], np.cumsum(w)))
+    reached, left = 0.0, float(capacity)
+    for cost, gain in zip(u, w):
+        if cost <= left:
+            reached, left = reached + gain, left - cost
+
+    def bound(room: np.ndarray) -> np.ndarray:
+        """Value of the best items, the last in part, that fill ``room``."""
+        at = np.minimum(np.searchsorted(fill, room, "right") - 1, len(u) - 1)
+        return value[at] + np.minimum(1.0, (room - fill[at]) / u[at]) * w[at]
+
+    slack = 1e-9 * max(1.0, reached)
+    with_item = bound(np.maximum(0.0, capacity - u)) + w  # the item may count twice, which keeps it a bound
+    without = bound(np.minimum(capacity + u, fill[-1])) - w
+    never, always = np.zeros(len(u), bool), np.zeros(len(u), bool)
+    never[order] = (with_item < reached - slack) | (u > capacity)
+    always[order] = (without < reached - slack) & (u <= capacity)
+    return always, never & ~always
+
+
+def _taken(units: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """Exact choice; the earlier item wins among equals. Keeps one row of values per block of items and works the blocks
+    through again from the last one, so memory grows with the root of the items."""
+    n = len(units)
+    block = max(1, int(np.sqrt(n)))
+    starts = list(range(0, n, block))
+    best, rows = np.zeros(capacity + 1), []
+
+    def add(best: np.ndarray, i: int) -> np.ndarray | None:
+        cost = int(units[i])
+        if cost > capacity:
+            return None
+        with_item = best[: capacity + 1 - cost] + worth[i]
+        better = with_item > best[cost:]
+        best[cost:] = np.where(better, with_item, best[cost:])
+        return better
+
+    for s in starts:
+        rows.append(best.copy())
+        for i in range(s, min(n, s + block)):
+            add(best, i)
+    chosen, left = np.zeros(n, bool), capacity
+    for s, row in zip(reversed(starts), reversed(rows)):
+        better = [add(row, i) for i in range(s, min(n, s + block))]
+        for i in range(min(n, s + block) - 1, s - 1, -1):
+            if better[i - s] is not None and left >= units[i] and better[i - s][left - int(units[i])]:
+                chosen[i] = True
+                left -= int(units[i])
+    return chosen
+
+
 def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact 0/1 choice over whole units; the earlier asset wins among equals."""
+    """Exact 0/1 choice over whole units, of any size; the earlier asset wins among equals."""
     pdf = pdf.sort_values("asset_id", kind="stable").reset_index(drop=True)
-    capacity, n = int(pdf["capacity"].iloc[0]), len(pdf)
-    if n * (capacity + 1) > MAX_TABLE_CELLS:
-        raise ValueError(f"{n} candidates x {capacity} units: use a larger cost step")
-    best = np.zeros(capacity + 1)
-    taken = np.zeros((n, (capacity + 8) // 8), dtype=np.uint8)
-    for i, (cost, worth) in enumerate(zip(pdf["units"].astype(int), pdf["worth"])):
-        with_item = best[: capacity + 1 - cost] + worth
-        better = np.zeros(capacity + 1, dtype=bool)
-        better[cost:] = with_item > best[cost:]
-        best[cost:] = np.maximum(best[cost:], with_item)
-        taken[i] = np.packbits(better)[: taken.shape[1]]
-    left, chosen = capacity, np.zeros(n, dtype=bool)
-    for i in range(n - 1, -1, -1):
-        if taken[i, left >> 3] >> (7 - (left & 7)) & 1:
-            chosen[i] = True
-            left -= int(pdf["units"].iloc[i])
+    units, worth = pdf["units"].to_numpy(np.int64), pdf["worth"].to_numpy(float)
+    capacity = int(pdf["capacity"].iloc[0])
+    chosen, never = _settled(units, worth, capacity)
+    core = np.flatnonzero(~chosen & ~never)
+    chosen[core] = _taken(units[core], worth[core], capacity - int(units[chosen].sum()))
     return pdf.loc[chosen, ["scenario", "asset_id", "cost_lakh", "people", "priority_score", "units", "worth"]]
 
 

@@ -45,15 +45,16 @@ def regeocode(reports: DataFrame, places: DataFrame, threshold: float = 75.0) ->
 
     todo = reports.filter("village is null").select("id", "raw_text", "duplicate_count", "district")
     found = structure_reports(todo, places, threshold).select(
-        "id", C("village").alias("_v"), C("block").alias("_b"), C("latitude").alias("_lat"),
+        "id", C("village").alias("_v"), C("block").alias("_b"), C("district").alias("_d"), C("latitude").alias("_lat"),
         C("longitude").alias("_lon"), C("issue_category").alias("_cat"))
     fill = C("village").isNull() & C("_v").isNotNull()
     return reports.join(found, "id", "left").withColumns({
         "issue_category": F.coalesce("issue_category", F.when(C("village").isNull(), C("_cat"))),
+        "district": F.coalesce("district", F.when(fill, C("_d"))),
         "block": F.when(fill, C("_b")).otherwise(C("block")),
         "latitude": F.when(fill, C("_lat")).otherwise(C("latitude")),
         "longitude": F.when(fill, C("_lon")).otherwise(C("longitude")),
-        "village": F.coalesce("village", "_v")}).drop("_v", "_b", "_lat", "_lon", "_cat")
+        "village": F.coalesce("village", "_v")}).drop("_v", "_b", "_d", "_lat", "_lon", "_cat")
 
 
 def repair(places: DataFrame, headquarters: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:

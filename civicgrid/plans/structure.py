@@ -13,6 +13,8 @@ from ..functions.rounding import portable_round
 from ..operators.fuzzy import best_match
 
 C = F.col
+# Stands for every district in the comparison of names.
+ANYWHERE = "*"
 
 
 def accept_facility(reports: DataFrame, facilities: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -32,15 +34,20 @@ def structure_reports(reports: DataFrame, places: DataFrame, threshold: float =
     """Raw text to language, category, severity, place and confidence.
 
     ``reports``: id, raw_text, duplicate_count, and ``district`` where it is known beforehand (it limits the place names
-    compared). Works on a stream as well, up to the place match (see ``structure_columns``).
+    compared; without one the name meets the places of all districts, and the district is filled from the match).
+    Works on a stream as well, up to the place match (see ``structure_columns``).
     """
     t = structure_columns(reports)
-    named = t.filter("location_raw is not null").select("id", "district", C("location_raw").alias("name"))
-    found = best_match(named, places.select("id", "district", "name"), threshold, strict)
+    named = t.filter("location_raw is not null").select(
+        "id", F.coalesce("district", F.lit(ANYWHERE)).alias("district"), C("location_raw").alias("name"))
+    known = places.select("id", "district", "name")
+    known = known.unionByName(known.withColumn("district", F.lit(ANYWHERE)))
+    found = best_match(named, known, threshold, strict)
     p = places.select(
         C("id").alias("match_id"), C("name").alias("village"), "block", C("lat").alias("latitude"),
-        C("lon").alias("longitude"))
+        C("lon").alias("longitude"), C("district").alias("_district"))
     t = t.join(found, "id", "left").join(p, "match_id", "left")
+    t = t.withColumn("district", F.coalesce("district", "_district")).drop("_district")
     return t.withColumn("confidence", _confidence(t)).withColumnRenamed("match_id", "place_id")
 
 

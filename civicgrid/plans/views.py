@@ -10,7 +10,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.geo import haversine_km, public_coordinate
 from ..functions.numeric import TERMS
 from ..operators.lookup import latest_by
-from ..operators.ranking import global_rank, with_next
+from ..operators.ranking import global_rank, quantile, with_next
 from ..operators.spatial import radius_join
 
 C = F.col
@@ -31,9 +31,11 @@ def district_rollup(clusters: DataFrame) -> DataFrame:
 
 def scale_anchors(clusters: DataFrame) -> DataFrame:
     """Anchors of the colour scale and of the bubble radius."""
-    return clusters.agg(
-        F.min("priority_score").alias("low"), F.percentile("priority_score", F.lit(0.6)).alias("upper"),
-        F.max("priority_score").alias("high"), F.max("population_affected").alias("max_people"))
+    ends = clusters.agg(
+        F.min("priority_score").alias("low"), F.max("priority_score").alias("high"),
+        F.max("population_affected").alias("max_people")).withColumn("_one", F.lit(1))
+    upper = quantile(clusters, C("priority_score"), 0.6, "upper").withColumn("_one", F.lit(1))
+    return ends.join(upper, "_one").select("low", "upper", "high", "max_people")
 
 
 def budget_answer(items: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -47,7 +49,8 @@ def budget_answer(items: DataFrame, scenarios: DataFrame) -> DataFrame:
 def ranked(scores: DataFrame) -> DataFrame:
     """Rank and out-of count over all scored clusters."""
     out = global_rank(scores, [C("priority_score").desc(), C("cluster_id")])
-    return out.withColumn("ranked_out_of", F.lit(scores.count()))
+    total = scores.agg(F.count(F.lit(1)).alias("ranked_out_of")).withColumn("_one", F.lit(1))
+    return out.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
 
 
 def cluster_list(clusters: DataFrame, scores: DataFrame) -> DataFrame:

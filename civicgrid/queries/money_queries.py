@@ -171,6 +171,22 @@ def allocation(v):
     return budget.allocate(cands(v), scenarios(v))
 
 
+@query("pip_10_best_value", "PIP-10", "scenario:s worth:d",
+       f"""SELECT * FROM (WITH RECURSIVE {CANDS}, sc AS (SELECT d || '|' || o AS scenario, CASE d WHEN 'all' THEN NULL ELSE d END AS district, CASE d WHEN 'all' THEN 900 ELSE 120 END AS cap, o
+             FROM (SELECT DISTINCT district AS d FROM places UNION ALL SELECT 'all') x, (SELECT unnest(['population', 'priority']) AS o) y),
+           it AS (SELECT sc.scenario, sc.cap, c.*, CASE o WHEN 'population' THEN people * 1e0 ELSE priority_score END AS worth FROM sc JOIN cand c
+             ON (sc.district IS NULL OR sc.district = c.district) AND c.units <= sc.cap),
+           top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, units ORDER BY worth DESC, asset_id) AS rn FROM it WHERE worth > 0) q
+             WHERE rn <= floor(cap / units)),
+           nth AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY asset_id) AS i FROM top),
+           dp AS (SELECT scenario, cap, 0::BIGINT AS i, list_transform(range(0, cap + 1), lambda c: 0e0) AS best FROM (SELECT DISTINCT scenario, cap FROM nth) z
+             UNION ALL SELECT dp.scenario, dp.cap, n.i, list_transform(range(0, dp.cap + 1), lambda c: CASE WHEN c >= n.units
+               THEN greatest(dp.best[c + 1], dp.best[c - n.units + 1] + n.worth) ELSE dp.best[c + 1] END) FROM dp JOIN nth n ON n.scenario = dp.scenario AND n.i = dp.i + 1)
+           SELECT scenario, arg_max(best[cap + 1], i) AS worth FROM dp GROUP BY scenario) r""", "places works")
+def best_value(v):
+    return budget.allocate(cands(v), scenarios(v)).groupBy("scenario").agg(F.sum("worth").alias("worth"))
+
+
 @query("pip_10_upper_bound", "PIP-10", "scenario:s bound:d",
        f"""WITH {CANDS}, sc AS (SELECT d || '|' || o AS scenario, CASE d WHEN 'all' THEN NULL ELSE d END AS district, CASE d WHEN 'all' THEN 900 ELSE 120 END AS cap, o
              FROM (SELECT DISTINCT district AS d FROM places UNION ALL SELECT 'all') x, (SELECT unnest(['population', 'priority']) AS o) y),

@@ -314,11 +314,11 @@ def school_reports(v):
 @query("jon_23_latest_score", "JON-23", "cluster_id:i score:d score_id:i",
        """SELECT c.group_id AS cluster_id, s.score, s.score_id FROM centres c LEFT JOIN (
             SELECT group_id, arg_max(confidence, id) AS score, max(id) AS score_id FROM grouped
-            WHERE confidence IS NOT NULL AND id % 2 = 0 GROUP BY group_id) s USING (group_id)""", "centres grouped")
+            WHERE confidence IS NOT NULL GROUP BY group_id) s USING (group_id)""", "centres grouped")
 def latest_score(v):
     from ..plans.views import latest_scores
 
-    scores = v.grouped.filter("confidence is not null and id % 2 = 0").select(
+    scores = v.grouped.filter("confidence is not null").select(
         C("group_id").alias("cluster_id"), C("confidence").alias("score"), C("id").alias("score_id"))
     last = latest_scores(scores)
     return v.centres.select(C("group_id").alias("cluster_id")).join(last, "cluster_id", "left").select(

@@ -80,8 +80,7 @@ register("txt_05_location_phrase", "TXT-05", "id:i phrase:s",
          lambda v: text.with_location_phrase(
              v.texts.select("id", text.normalize_text(C("body")).alias("clean")), "clean", "phrase"))
 
-_SELF = (r"((?i:\b(?:mera|meraa|maza|majha|mazha|my)\b)\s+|मेरा\s+|मेरे\s+|माझं\s+|माझे\s+|माझ्या\s+)"
-         r"((?i:\b(?:naam|naav|nam|name)\b)|नाम|नाव)((?i:\s+(?:is|hai|aahe|ahe))|\s+है|\s+आहे)?\s+[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)?")
+_SELF = text.self_naming("[A-Z][a-zA-Z]*", r"\b", r"\b")
 REDACT = (f"regexp_replace(regexp_replace(regexp_replace(body, {lit(V.PHONE)}, '[PHONE]', 'g'), {lit(V.TITLED_NAME)}, '[NAME]', 'g'),"
           f" {lit(_SELF)}, '\\1\\2\\3 [NAME]', 'g')")
 scalar("txt_06_redact", "TXT-06", "texts", "id", {"redacted:s": (lambda: text.redact(C("body")), REDACT)})

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..functions import text
 from ..functions.numeric import TERMS
 from ..operators import cluster, lookup
 from ..operators.catchment import top_array, works_by_place
@@ -195,7 +196,7 @@ FORMS = """SELECT r.id, r.raw_text, 'en' AS language, CASE WHEN r.id % 3 = 0 THE
   cast(r.precise_lat AS STRING) AS report_lat, cast(r.precise_lon AS STRING) AS report_lon, r.facility_id, coalesce(r.confidence, 0.5e0) AS confidence,
   'Citizen ' || cast(r.id AS STRING) AS full_name, 'female' AS gender, '98' || cast(10000000 + r.id AS STRING) AS mobile, 'a@b.example' AS email,
   'Lane 1' AS address, '416001' AS pincode FROM {reports} r JOIN {places} p ON p.id = r.place_id"""
-_SELF = r"((?i:\b(?:mera|meraa|maza|majha|mazha|my)\b)\s+|मेरा\s+|मेरे\s+|माझं\s+|माझे\s+|माझ्या\s+)((?i:\b(?:naam|naav|nam|name)\b)|नाम|नाव)((?i:\s+(?:is|hai|aahe|ahe))|\s+है|\s+आहे)?\s+[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)?"
+_SELF = text.self_naming("[A-Z][a-zA-Z]*", r"\b", r"\b")
 _RED = (f"regexp_replace(regexp_replace(regexp_replace(trim(raw_text), {lit(V.PHONE)}, '[PHONE]', 'g'), {lit(V.TITLED_NAME)}, '[NAME]', 'g'), {lit(_SELF)}, '\\1\\2\\3 [NAME]', 'g')")
 
 

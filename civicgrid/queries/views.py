@@ -281,10 +281,9 @@ FROM {{part}}
 """
 
 
-# Whole documents, most of them with a complaint added.
+# Whole documents, each with a complaint added.
 VIEWS["texts"] = """
-SELECT d.doc_id AS id, CASE WHEN d.doc_id % 5 = 0 THEN d.text WHEN d.doc_id % 5 < 4 THEN h.phrase
-       ELSE d.text || '. ' || h.phrase END AS body,
+SELECT d.doc_id AS id, d.text || '. ' || h.phrase AS body,
        CASE d.doc_id % 5 WHEN 0 THEN 'road' WHEN 1 THEN 'water' WHEN 2 THEN 'health' WHEN 3 THEN 'education' ELSE NULL END AS category,
        d.doc_id % 9 AS duplicates, d.n_chars
 FROM {documents} d JOIN {phrases} h ON h.k = d.doc_id % 19

@@ -159,6 +159,14 @@ REVIEW_FLAGS = [
 
 PHONE = r"\b[6-9]\d{9}\b"
 TITLED_NAME = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Shri|Smt)\.?\s+[A-Z][a-zA-Z]*\b"
+# Someone naming themselves: possessive, the word for name, a verb.
+SELF_POSSESSIVE = "mera|meraa|maza|majha|mazha|my"
+SELF_POSSESSIVE_DEVANAGARI = ("मेरा", "मेरे", "माझं", "माझे", "माझ्या")
+SELF_NOUN = "naam|naav|nam|name"
+SELF_NOUN_DEVANAGARI = "नाम|नाव"
+SELF_VERB = "is|hai|aahe|ahe"
+SELF_VERB_DEVANAGARI = ("है", "आहे")
+NOT_A_NAME = "आहे|आहेत|है|हैं"
 MOBILE = r"^[6-9]\d{9}$"
 PINCODE = r"^\d{6}$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
