@@ -307,7 +307,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     heads = checkpoint(firsts.join(heads, "root").select("id", "head"))
     out = places.join(heads, "id").select(
         C("doc").alias(key), "line_no", C("head.doc").alias("class_doc"), C("head.line_no").alias("class_line"))
-    return out.withColumn("kept", (C(key) == C("class_doc")) & (C("line_no") == C("class_line")))
+    return out.withColumn("kept", C(key).eqNullSafe(C("class_doc")) & (C("line_no") == C("class_line")))
 
 
 def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,

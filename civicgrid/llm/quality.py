@@ -108,7 +108,8 @@ def with_ledger(docs: DataFrame, text: str = "text", row: str = "row", name: str
     failed = F.lit(0).cast("bigint")
     for r in RULES:
         failed = failed + F.when(F.expr(r.condition), F.lit(1 << r.bit)).otherwise(0).cast("bigint")
-    return df.select(row, F.struct(*MEASURES, failed.alias("failed")).alias(name))
+    # The generator keeps later filters above it: pushed further down they would repeat the array work per element.
+    return df.select(row, F.explode(F.array(F.struct(*MEASURES, failed.alias("failed")))).alias(name))
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
