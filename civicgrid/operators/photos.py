@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -69,17 +71,12 @@ def classifier_scores(scored: DataFrame, threshold: float) -> DataFrame:
 # ---- near-duplicates
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-SEGMENT_SLACK = 2
 
 
-def _flips(bits: int) -> Column:
-    """All masks of a segment with at most two bits set."""
-    one = F.sequence(F.lit(0), F.lit(bits - 1))
-    pairs = F.transform(one, lambda i: F.transform(
-        F.sequence(i, F.lit(bits - 1)),
-        lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), i).bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), j))))
-    return F.array_union(F.array(F.lit(0).cast("bigint")), F.flatten(pairs))
+def _flips(bits: int, most: int) -> Column:
+    """All masks of a segment with at most ``most`` bits set."""
+    masks = [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)]
+    return F.array(*[F.lit(m).cast("bigint") for m in masks])
 
 
 def _segment(h: Column, start: int, bits: int) -> Column:
@@ -89,24 +86,22 @@ def _segment(h: Column, start: int, bits: int) -> Column:
 def near_hashes(new: DataFrame, existing: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Pairs of distinct hash pairs (ph, dh) x (q_ph, q_dh) within both distances.
 
-    Eight differing bits over three segments leave one segment with at most two. The new side looks up every value
-    within two bits of each of its segments; the existing side is filed by its exact segments. No crowd of equal or
-    similar hashes is ever paired with itself row by row.
+    Differing bits spread over three segments leave one segment with at most a third of them. Each side files every value
+    within half of that of its segments, so two bits take one flip on either side.
     """
-    if cfg.phash_max // len(SEGMENTS) > SEGMENT_SLACK:
-        raise ValueError("phash_max needs more segments")
+    slack = cfg.phash_max // len(SEGMENTS)
     probe = new.select("ph", "dh").distinct()
     filed = existing.select(C("ph").alias("q_ph"), C("dh").alias("q_dh")).distinct()
 
-    def lookups(n: int, start: int, bits: int) -> Column:
-        return F.transform(_flips(bits), lambda m: F.struct(
-            F.lit(n).alias("seg"), _segment(C("ph"), start, bits).bitwiseXOR(m).alias("value")))
+    def keys(h: str, most: int) -> Column:
+        def of(n: int, start: int, bits: int) -> Column:
+            return F.transform(_flips(bits, most), lambda m: F.struct(
+                F.lit(n).alias("seg"), _segment(C(h), start, bits).bitwiseXOR(m).alias("value")))
+
+        return F.concat(*[of(n, start, bits) for n, (start, bits) in enumerate(SEGMENTS)])
 
-    probes = [lookups(n, start, bits) for n, (start, bits) in enumerate(SEGMENTS)]
-    files = [F.struct(F.lit(n).alias("seg"), _segment(C("q_ph"), start, bits).alias("value"))
-             for n, (start, bits) in enumerate(SEGMENTS)]
-    lhs = probe.withColumn("_k", F.explode(F.concat(*probes))).select("ph", "dh", "_k.*")
-    rhs = filed.withColumn("_k", F.explode(F.array(*files))).select("q_ph", "q_dh", "_k.*")
+    lhs = probe.withColumn("_k", F.explode(keys("ph", slack - slack // 2))).select("ph", "dh", "_k.*")
+    rhs = filed.withColumn("_k", F.explode(keys("q_ph", slack // 2))).select("q_ph", "q_dh", "_k.*")
     pairs = lhs.join(rhs, ["seg", "value"]).select("ph", "dh", "q_ph", "q_dh").distinct()
     return pairs.withColumns({
         "phash_distance": F.bit_count(C("ph").bitwiseXOR(C("q_ph"))),

@@ -351,14 +351,15 @@ def snapshot(v):
     return v.spark.read.schema(v.stations.schema).csv(path, header=True)
 
 
-@query("snk_06_geojson", "SNK-06", "features:i points:i",
-       "SELECT count(*) AS features, count(*) AS points FROM clusters", "clusters")
+@query("snk_06_geojson", "SNK-06", "cluster_id:i lon:d lat:d score:d",
+       "SELECT cluster_id, centroid_lon AS lon, centroid_lat AS lat, priority_score AS score FROM clusters", "clusters")
 def geojson(v):
     path = _folder(v) + "/t"
     sinks.geojson_lines(views.geojson_features(v.clusters, "centroid_lat", "centroid_lon", ["cluster_id", "priority_score"]), path)
-    back = v.spark.read.text(path)
-    return back.agg(F.count(F.lit(1)).alias("features"), F.count_if(
-        F.get_json_object("value", "$.geometry.coordinates[0]").isNotNull()).alias("points"))
+    spots = {"cluster_id": "$.properties.cluster_id", "lon": "$.geometry.coordinates[0]",
+             "lat": "$.geometry.coordinates[1]", "score": "$.properties.priority_score"}
+    back = v.spark.read.text(path).filter(F.get_json_object("value", "$.geometry.type") == "Point")
+    return back.select(*[F.get_json_object("value", at).cast("double").alias(name) for name, at in spots.items()])
 
 
 @query("snk_06_feature_collections", "SNK-06", "district:s features:i",
