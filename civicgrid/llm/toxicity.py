@@ -235,7 +235,9 @@ def _weights(texts: list[str], sets: list[np.ndarray], y: np.ndarray, use: np.nd
     for i in np.flatnonzero(use):
         (a if y[i] else b)[sets[i]] += 1
     n1, n0 = float(y[use].sum()), float((1 - y[use]).sum())
-    good = (a >= SUPPORT) & (_lower_odds(a, b, n1, n0) > LEAST_WEIGHT)
+    some = np.flatnonzero(a >= SUPPORT)
+    good = np.zeros(SLOTS, bool)
+    good[some] = _lower_odds(a[some], b[some], n1, n0) > LEAST_WEIGHT
     marked, clean = Counter(), Counter()
     for i in np.flatnonzero(use):
         if good[sets[i]].any():
