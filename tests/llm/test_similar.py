@@ -200,3 +200,37 @@ def test_neighbours_few_rows(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.neighbours(one, lambda c: c % 20 == 0).collect()]
     assert got == [(0, 1, 1, 0.5)]
     assert neighbours.neighbours(one.limit(0), lambda c: c % 20 == 0).count() == 0
+
+
+def recall_of(spark, v, **how):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.neighbours(df, lambda c: c % 20 == 0, **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    return hit / (20 * len(got))
+
+
+def test_neighbours_windows_follow_the_table(spark):
+    v = np.random.default_rng(3).standard_normal((4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert recall_of(spark, v, block=16) >= 0.95
+
+
+def test_neighbours_long_vectors_keep_to_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.standard_normal((40, 8)), 100, axis=0) + 0.05 * rng.standard_normal((4000, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[0] *= 1000
+    monkeypatch.setattr(neighbours, "_all_pairs", None)  # these windows are good enough, no row need meet every query
+    assert recall_of(spark, v, curves=12, block=24) >= 0.95
+
+
+def test_norm_ranges():
+    assert neighbours.norm_ranges({0: (5, 1.5), 3: (1, 9.0)}) == [(0, 1.5), (3, 9.0)]
+    got = neighbours.norm_ranges({o: (10 + o, 2.0 ** o) for o in range(12)}, 3)
+    assert len(got) == 3 and got[-1] == (11, 2048.0)
