@@ -10,6 +10,9 @@ text is set into page layouts drawn at random with menus, headers, footers, side
 links and reader comments under many names, whose parts are known; the pages themselves join in where their markup says what a
 part is (article, main, nav, aside, footer, form).
 
+Every run of text that stands in the body itself, outside of any block element, is a nameless block of its own and is judged
+like the others; a page without any block element is all main text.
+
 The text of a page is that of its kept blocks in page order, one line each, character references decoded and white space
 turned into single spaces. Null or empty html, and pages without a kept block, give an empty text. Cut-off pages are read to
 their end. Repeated rows give repeated results; an empty table gives an empty result. Only key, url and html are read.
@@ -62,6 +65,7 @@ BAD = {t: i for i, group in enumerate((
 TAGS = ("nav footer form aside menu dialog header ul ol li dl dt dd table tbody thead tr td th fieldset figure figcaption "
         "address details summary div other section body html h1 h2 h3 h4 h5 h6 pre blockquote p main article").split()
 TAG_RANK = {t: i for i, t in enumerate(TAGS)}
+TAG_RANK[""] = TAG_RANK["div"]  # a nameless block
 OUTER = {"nav": 0, "aside": 1, "footer": 2, "form": 3, "header": 4, "menu": 0, "dialog": 3}
 
 _TAG = re.compile(r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(?=[a-zA-Z/!?])")
@@ -100,7 +104,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             line = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
             if line:
-                runs.append((stack[-1][1], line))
+                block = stack[-1][1]
+                if not block:  # text of the body itself
+                    block = len(nodes)
+                    nodes.append(Node("", "", 0, 1))
+                    nodes[0].children.append(block)
+                    nodes[block].start = len(runs)
+                    nodes[block].links, nodes[0].links = nodes[0].links, 0
+                runs.append((block, line))
 
     def pop(to: int) -> None:
         nonlocal anchors
@@ -300,9 +311,9 @@ def main_texts(pages: list[str | None], trees: Trees | None) -> list[str]:
     out, at = [], 0
     for nodes, runs in parsed:
         kept = decode(nodes, odds[at:at + len(nodes)])
-        if nodes[0].own and len(nodes) == 1:
-            kept[0] = True
-        out.append("\n".join(line for node, line in runs if kept[node] and (node or len(nodes) == 1)))
+        if not any(x.tag for x in nodes[1:]):
+            kept[:] = True
+        out.append("\n".join(line for node, line in runs if kept[node]))
         at += len(nodes)
     return out
 

@@ -213,3 +213,17 @@ def test_packing_crowded_length(spark):
     n = got[0].length
     assert len({r.sequence_id for r in got}) == -(-9000 // (2048 // n))
     assert len({(r.sequence_id, r.offset) for r in got}) == 9000
+
+
+def test_text_of_the_body_itself(trees):
+    one, two, three = (" ".join(sentences(3, k)) for k in (50, 51, 52))
+    page = (f'<html><body><div class="nav"><a href="/a">Home</a></div>{one}<br><b>{two}</b><table><tr><td>a<td>b</table>{three}'
+            '<div class="footer">&copy; site</div></body></html>')
+    nodes, runs = html_extract.parse(page)
+    assert [line for node, line in runs if not nodes[node].tag] == [f"{one} {two}", three]
+    got = html_extract.main_text(page, trees).split("\n")
+    assert f"{one} {two}" in got and three in got
+    assert "Home" not in got and "© site" not in got
+    assert html_extract.main_text("<p></p>", trees) == "" and html_extract.main_text("only <b>this</b>", trees) == "only this"
+    menu = html_extract.parse('<a href="/a">Home</a> <a href="/b">News</a><p>x</p>')[0]
+    assert [(x.tag, x.links) for x in menu] == [("html", 0), ("", 8), ("p", 0)]
