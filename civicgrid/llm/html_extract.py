@@ -14,7 +14,10 @@ Every run of text that stands in the body itself, outside of any block element,
 like the others; a page without any block element is all main text.
 
 The text of a page is that of its kept blocks in page order, one line each, character references decoded and white space
-turned into single spaces. Null or empty html, and pages without a kept block, give an empty text. Cut-off pages are read to
+turned into single spaces. Scripts, styles, titles and text fields are skipped to their end. Drawings, choices, templates,
+frames, fallbacks for absent scripts and the source notes of formulas are skipped as elements: one that closes itself holds
+nothing, an unclosed drawing or choice ends where a block begins or ends, and of the others an unclosed one is only a tag and
+its content is read. The text of formulas is read. Null or empty html, and pages without a kept block, give an empty text. Cut-off pages are read to
 their end. Repeated rows give repeated results; an empty table gives an empty result. Only key, url and html are read.
 """
 
@@ -40,10 +43,12 @@ BYTES = 1 << 20
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg math select".split())
+RAW = set("script style textarea title".split())  # no tags inside
+DROPPED = set("noscript iframe noembed noframes xmp template svg select annotation annotation-xml".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
              "strike strong sub sup time tt u var br wbr img input button option output meter progress picture "
-             "source".split())
+             "source math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup "
+             "msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -68,6 +73,9 @@ TAG_RANK = {t: i for i, t in enumerate(TAGS)}
 TAG_RANK[""] = TAG_RANK["div"]  # a nameless block
 OUTER = {"nav": 0, "aside": 1, "footer": 2, "form": 3, "header": 4, "menu": 0, "dialog": 3}
 
+# Tags that a drawing or a choice cannot hold.
+BREAKS = set(TAGS) - {"other"} | set("center hr hgroup search input textarea".split())
+
 _TAG = re.compile(r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(?=[a-zA-Z/!?])")
 _TOKEN = re.compile(r"(?:class|id|role|itemprop|aria-label|data-role|name|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -85,6 +93,64 @@ class Node:
         self.paragraphs = self.controls = self.headings = self.leaves = self.start = self.own = 0
 
 
+def _past(page: str, name: str, at: int) -> int:
+    """The place after the next closing tag of ``name``, or the end of the page."""
+    end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+    return len(page) if end is None else end.end()
+
+
+def dropped_ends(page: str) -> dict[int, int]:
+    """Where every dropped element ends, by the place after its start tag; an unclosed one that ends nowhere is left out."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    loose = ("svg", "select")  # these need no closing tag
+
+    def pop(to: int, end: int) -> None:
+        while len(stack) > to:
+            name, start = stack.pop()
+            if name in loose:
+                ends[start] = end
+
+    n, at = len(page), 0
+    while at < n:
+        m = _TAG.search(page, at)
+        if not m:
+            break
+        at = m.end()
+        if m.group(2) is None:
+            end = page.find("-->" if m.group(0) == "<!--" else ">", at) if m.group(0) in ("<!--", "<") else at
+            at = n if end < 0 else end + len("-->") if m.group(0) == "<!--" else end + (m.group(0) == "<")
+            continue
+        name, attrs = m.group(2).lower(), m.group(3)
+        drawn = any(k == "svg" for k, _ in stack[-1:])
+        closed = attrs.rstrip().endswith("/")
+        if m.group(1):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    ends[stack[i][1]] = at
+                    pop(i + 1, m.start())
+                    stack.pop()
+                    break
+            else:
+                while name in BREAKS and stack and stack[-1][0] in loose:
+                    pop(len(stack) - 1, m.start())
+        elif name in RAW and not (drawn and closed):
+            if stack and stack[-1][0] == "select" and name == "textarea":
+                pop(len(stack) - 1, m.start())
+            at = _past(page, name, at)
+        elif name == "foreignobject" and drawn and not closed:
+            stack.append((name, at))
+        elif name in DROPPED and not closed:
+            if name == "select" and stack and stack[-1][0] == "select":
+                pop(len(stack) - 1, m.start())
+            stack.append((name, at))
+        elif name in BREAKS:
+            while stack and stack[-1][0] in loose:
+                pop(len(stack) - 1, m.start())
+    pop(0, n)
+    return ends
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes, the first of which is the root, and the text of every block run with its node, in page order."""
     nodes = [Node("html", "", -1, 0)]
@@ -92,6 +158,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block node each belongs to
     held: list[str] = []
     anchors = at = 0
+    ends: dict[int, int] | None = None
 
     def text(raw: str) -> None:
         if raw:
@@ -154,11 +221,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
             continue
+        if name in ("select", "textarea"):
+            nodes[stack[-1][1]].controls += 1
         if name in RAW:
-            end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
-            if name in ("select", "textarea"):
-                nodes[stack[-1][1]].controls += 1
-            at = n if end is None else end.end()
+            at = _past(page, name, at)
+            continue
+        if name in DROPPED:
+            if ends is None:
+                ends = dropped_ends(page)
+            at = ends.get(at, at)
             continue
         if name == "br":
             held.append(" ")

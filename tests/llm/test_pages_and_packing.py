@@ -227,3 +227,28 @@ def test_text_of_the_body_itself(trees):
     assert html_extract.main_text("<p></p>", trees) == "" and html_extract.main_text("only <b>this</b>", trees) == "only this"
     menu = html_extract.parse('<a href="/a">Home</a> <a href="/b">News</a><p>x</p>')[0]
     assert [(x.tag, x.links) for x in menu] == [("html", 0), ("", 8), ("p", 0)]
+
+
+def test_dropped_elements_end(trees):
+    def lines(body):
+        return [line for _, line in html_extract.parse(f"<body><article>{body}</article><p>end</p></body>")[1]]
+
+    for body, want in (
+            ('<p>a <svg href="#i"/> b</p><p>c</p>', ["a b", "c"]),
+            ('<svg/><p>a</p><svg><text>x</text></svg><p>b</p>', ["a", "b"]),
+            ('<p>a<svg><path/><p>b</p>', ["a", "b"]),
+            ('<p>a<svg><title/><foreignObject><p>x</p></foreignObject><text>y</text></svg> b</p>', ["a b"]),
+            ('<p>a<select><option>x<option>y<p>b</p><select><option>z</select> c', ["a", "b", "c"]),
+            ('<p>a<select><option>x</select> b', ["a b"]),
+            ('<p>a<select><option>x<textarea>t</textarea> b', ["a b"]),
+            ('<form><select><option>x</form>a', ["a"]),
+            ('<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b</p>', ["a x=2 b"]),
+            ('<template><p>x<template><p>y</template><p>z</template><p>a', ["a"]),
+            ('<template><script>"<template>"</script><p>x</template><p>a', ["a"]),
+            ('<template><p>a</p><noscript><img></noscript><iframe src="x"/><p>b', ["a", "b"]),
+            ('<noscript><svg><path></noscript><p>a<!-- <svg> --> b', ["a b"])):
+        assert lines(body) == [*want, "end"], body
+    said = sentences(6, 60)
+    body = f'<p>{said[0]}</p><svg class="i"/><p>{said[1]}</p><select><option>no<p>{said[2]} <math><mi>q</mi></math></p><svg><p>{said[3]}</p>'
+    got = html_extract.main_text(PAGE.format(body=body), trees).split("\n")
+    assert got[1:] == [said[0], said[1], said[2] + " q", said[3]]
