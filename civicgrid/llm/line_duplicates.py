@@ -1,6 +1,7 @@
 """Near-duplicate lines across documents, by a segment-partition edit join.
 
-* Lines of at least ``least`` code points take part; shorter ones are never touched. Equal lines are one.
+* Lines of at least ``least`` code points take part in the edit join. Equal lines are one. Shorter lines that are not blank are
+  grouped by equality alone, where ``short`` asks for them.
 * A line of length n is split into ``edits`` + 1 even segments. Two lines within ``edits`` insertions, deletions and
   substitutions of code points share at least one segment of the shorter, at a place that the two lengths and the number
   of the segment bound (multi-match-aware selection). Keys are (length, segment number, content), so a line probes the
@@ -10,7 +11,8 @@
 * Lines connected by confirmed links are a class, and the first line of a class, by (document, line number), is kept.
 
 Null or empty texts have no lines that take part. Repeated rows of one document key count as one document. Only key and
-text are read; ``drop_duplicate_lines`` carries the other columns along whatever their names.
+text are read. Whether repeats of short lines go is a policy of ``drop_duplicate_lines``: by default they stay, since in short
+lines (headings, names, answers) a repeat is seldom a copy. ``drop_duplicate_lines`` carries the other columns along whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ PADDED = 1 << 21
 class Lines:
     """The lines of a batch of texts that take part: owner, number, place, length, 64-bit hash."""
 
-    def __init__(self, texts: list[bytes], least: int):
+    def __init__(self, texts: list[bytes], least: int, short: bool = False):
         joined = b"\n".join(texts)
         self.points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
         cut = np.flatnonzero(self.points == 10)
@@ -48,6 +50,9 @@ class Lines:
         owner = np.repeat(np.arange(len(texts)), per_text)
         number = np.arange(len(start)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         use = length >= least
+        if short:
+            seen = np.concatenate(([0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))))
+            use |= seen[start + length] > seen[start]
         self.owner, self.number, self.start, self.length = owner[use], number[use], start[use], length[use]
         with np.errstate(over="ignore"):
             self.total = np.zeros(len(self.points) + 1, np.uint64)
@@ -244,14 +249,14 @@ def _texts(docs: DataFrame, least: int, with_bags: bool = False) -> DataFrame:
     return docs.select("id", "t").mapInArrow(run, "id bigint, line string, x bigint, y bigint")
 
 
-def _places(docs: DataFrame, least: int, kind: str) -> DataFrame:
-    """``doc``, ``line_no``, ``id`` for every line that takes part."""
+def _places(docs: DataFrame, least: int, kind: str, short: bool) -> DataFrame:
+    """``doc``, ``line_no``, ``id`` for every line that takes part, and for shorter ones if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi in batches_by_bytes(pc.binary_length(whole.column(1)).to_pylist(), BYTES):
                 part = whole.slice(lo, hi - lo)
-                lines = Lines(part.column(1).to_pylist(), least)
+                lines = Lines(part.column(1).to_pylist(), least, short)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int64)),
                      pa.array(lines.hash)], names=["doc", "line_no", "id"])
@@ -271,11 +276,14 @@ def _near_bags(a: str, b: str, edits: int):
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,
-                 least: int = LEAST) -> DataFrame:
-    """key, ``line_no`` (from 0), ``class_doc``, ``class_line`` (the first line of its class), ``kept``."""
+                 least: int = LEAST, short: bool = False) -> DataFrame:
+    """key, ``line_no`` (from 0), ``class_doc``, ``class_line`` (the first line of its class), ``kept``.
+
+    ``short``: also the lines of fewer than ``least`` code points that are not blank; only equal ones are a class.
+    """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(C(key).alias("id"), F.coalesce(C(text), F.lit("")).cast("binary").alias("t"))
-    places = checkpoint(_places(rows, least, kind))
+    places = checkpoint(_places(rows, least, kind, short))
     shared = checkpoint(_shared(_entries(rows, least, edits)))
     used = checkpoint(shared.select("id").distinct())
     lines = checkpoint(_texts(rows, least).join(used.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
@@ -311,12 +319,12 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
 
 
 def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,
-                         least: int = LEAST) -> DataFrame:
+                         least: int = LEAST, short: bool = False) -> DataFrame:
     """The documents without the lines that stand earlier in the corpus; a text of which nothing is left goes.
 
-    Texts that lose nothing are returned as they are, null and empty ones included.
+    Lines of fewer than ``least`` code points stay, unless ``short``: then equal ones that stand earlier go as well. Texts that lose nothing are returned as they are, null and empty ones included.
     """
-    gone = line_classes(docs, key, text, edits, least).filter("NOT kept").groupBy(key).agg(
+    gone = line_classes(docs, key, text, edits, least, short).filter("NOT kept").groupBy(key).agg(
         F.collect_set("line_no").alias("gone")).select(C(key).alias("_key"), C("gone").alias("_gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("_key"))
     rows = rows.join(gone, "_key", "left")

@@ -38,7 +38,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates.line_classes(table(spark, sf_dir, "documents"))
+    return line_duplicates.line_classes(table(spark, sf_dir, "documents"), short=True)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

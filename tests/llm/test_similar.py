@@ -164,6 +164,26 @@ def test_line_classes_awkward_rows(spark):
     assert out.columns == SCHEMA.replace(",", "").split()[::2] and out.count() >= 1
 
 
+def test_short_lines_are_classes_of_equals(spark):
+    long = "a line that is long enough to be joined by edits"
+    rows = [(1, f"Yes.\nYes!\n \t\n{long}"), (2, f"Yes.\n\n{long}s\né é\n \t"), (3, "é é"), (4, "x" * 19), (5, "x" * 18 + "y")]
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.kept)
+           for r in line_duplicates.line_classes(docs(spark, rows), short=True).collect()}
+    assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (1, 3): (1, 3, True), (2, 0): (1, 0, False), (2, 2): (1, 3, False),
+                   (2, 3): (2, 3, True), (3, 0): (2, 3, False), (4, 0): (4, 0, True), (5, 0): (5, 0, True)}
+    out = {r.doc_id: r.text for r in line_duplicates.drop_duplicate_lines(docs(spark, rows), short=True).collect()}
+    assert out == {1: rows[0][1], 2: "\né é\n \t", 4: rows[3][1], 5: rows[4][1]}
+
+
+def test_op7_reports_every_line_that_is_not_blank(spark):
+    from civicgrid.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.line_no) for r in QUERIES["op7_line_dedup"](spark, folder).collect()}
+    assert got == {(r.doc_id, i) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()
+                   for i, line in enumerate((r.text or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", line)}
+
+
 def exact(ids, vectors, query, k):
     scores = [(-float(sum(float(x) * float(y) for x, y in zip(vectors[query], v))), i) for i, v in zip(ids, vectors) if i != ids[query]]
     return sorted(scores)[:k]
