@@ -2,7 +2,9 @@
 
 Both sides are reduced to distinct (district, name) first. Candidates come from shared letter pairs, so no district is
 compared all against all. For the edit score the shared pair is a complete filter: at most k edits destroy 2k letter
-pairs, so of any 2k + 1 pairs taken in one fixed order at least one survives on both sides.
+pairs, so of any 2k + 1 pairs taken in one fixed order at least one survives on both sides. For the weighted score (from a
+threshold of 75 on) names of five letters and more share a letter pair of the name or of a word with a space on either side,
+in whatever order the words are compared; shorter ones share a letter.
 """
 
 from __future__ import annotations
@@ -40,12 +42,17 @@ def _score_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bo
     if strict:
         def grams(n: Column, own: str, other: str) -> Column:
             letters = F.array_distinct(F.split(n, ""))
+            words = F.array_distinct(F.filter(F.split(n, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
             tagged = F.transform(letters, lambda x: F.concat(F.lit(other), x))
-            mine = F.when(F.length(n) < 5, F.transform(letters, lambda x: F.concat(F.lit(own), x))).otherwise(
+            # repeated words count once in some comparisons, so what is left of them may be short
+            mine = F.when(F.least(F.length(n), F.length(F.array_join(words, " "))) < 5, F.transform(letters, lambda x: F.concat(F.lit(own), x))).otherwise(
                 F.array().cast("array<string>"))
-            return F.array_distinct(F.concat(F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(n) - 1, F.lit(1))),
-                lambda i: F.substring(n, i, F.lit(2))), tagged, mine))
+
+            def pairs_in(x: Column) -> Column:
+                return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
+
+            spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+            return F.array_distinct(F.concat(pairs_in(n), pairs_in(spaced), tagged, mine))
 
         # Short names may agree without a common letter pair; they also meet every name that shares a letter.
         lk = ln.withColumn("_g", F.explode(grams(C("l_name"), "<", ">")))

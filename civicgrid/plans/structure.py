@@ -30,7 +30,7 @@ def accept_facility(reports: DataFrame, facilities: DataFrame, cfg: Settings = D
     )
 
 
-def structure_reports(reports: DataFrame, places: DataFrame, threshold: float = 75.0, strict: bool = False) -> DataFrame:
+def structure_reports(reports: DataFrame, places: DataFrame, threshold: float = 75.0, strict: bool = True) -> DataFrame:
     """Raw text to language, category, severity, place and confidence.
 
     ``reports``: id, raw_text, duplicate_count, and ``district`` where it is known beforehand (it limits the place names

@@ -1,8 +1,9 @@
 import itertools
 import random
 
+from civicgrid.functions.similarity import weighted_ratio
 from civicgrid.operators import fuzzy, photos
-from civicgrid.plans import budget
+from civicgrid.plans import budget, structure
 
 
 def lev(a, b):
@@ -30,6 +31,35 @@ def test_best_match_misses_nothing(spark):
         assert got == want
 
 
+def test_weighted_match_misses_nothing(spark):
+    rnd = random.Random(8)
+
+    def name():
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.choice((1, 1, 2, 3, 6)))) for _ in range(rnd.randint(1, 5)))
+
+    words = [name() for _ in range(150)] + ["q abcdef", "a a a", "aab  ccd", "kagal village", "village kagal"]
+    names = [name() for _ in range(150)] + ["zzzzzzzz z q", "xxaxxxxxx", "ccd aab", "kagal"]
+    left = spark.createDataFrame([(i, "d", w) for i, w in enumerate(words)], "id long, district string, name string")
+    right = spark.createDataFrame([(i, "d", w) for i, w in enumerate(names)], "id long, district string, name string")
+    for limit in (75.0, 80.0, 85.0):
+        got = {r.id: (r.match_id, r.score) for r in fuzzy.best_match(left, right, limit, strict=True).collect()}
+        want = {}
+        for i, w in enumerate(words):
+            score, j = max((weighted_ratio(w, n), -j) for j, n in enumerate(names))
+            if score >= limit:
+                want[i] = (-j, score)
+        assert got == want
+
+
+def test_reports_are_placed_by_the_weighted_score(spark):
+    reports = spark.createDataFrame([(1, "No water in Kagal Gaothan since Monday", 0, "D")],
+                                    "id long, raw_text string, duplicate_count int, district string")
+    places = spark.createDataFrame([(10, "D", "B", "Gaothan Kagal", 16.5, 74.3), (11, "D", "B", "Hatkanangale", 16.7, 74.4)],
+                                   "id long, district string, block string, name string, lat double, lon double")
+    got = structure.structure_reports(reports, places).first()
+    assert got["location_raw"] == "Kagal Gaothan" and got["place_id"] == 10
+
+
 def test_link_drops_ambiguous_and_doubly_claimed(spark):
     left = spark.createDataFrame([(1, "d", "Shirol"), (2, "d", "Kagalx"), (3, "d", "Kagaly"), (4, "d", "Hatkan")],
                                  "id long, district string, name string")
