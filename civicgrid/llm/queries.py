@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, quality, token_counts, toxicity
+from . import divergence, html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, quality, token_counts, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "kept", "failed")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_html_extraction, op3_sentencepiece_sampling, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
-    op8_nearest_neighbours, op9_language_id, op10_quality_rules)}
+    op8_nearest_neighbours, op9_language_id, op10_quality_rules, op11_source_divergence)}
 
 _MEASURED = r"""
     words AS (
@@ -93,4 +97,36 @@ SQL: dict[str, str] = {
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed % 4 <> 0 AS base_failed,
            failed = 0 AS kept, failed::BIGINT AS failed
     FROM judged""",
+    "op11_source_divergence": r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    words AS (SELECT id, lang, source, unnest(w) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS n_all FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY lang, source, term),
+    sizes AS (SELECT lang, count(*) AS v, sum(n_all) AS total FROM kept GROUP BY lang),
+    grp AS (SELECT DISTINCT lang, source FROM docs),
+    cells AS (
+      SELECT g.lang, g.source, k.term, k.n_all, coalesce(c.n, 0) AS n
+      FROM grp g JOIN kept k ON g.lang = k.lang
+           LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    shares AS (
+      SELECT c.*, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY c.lang, c.source) + 2 * v) AS p,
+             1 + (1000000000::HUGEINT * (n_all + 2)) // (total + 2 * v) AS q
+      FROM cells c JOIN sizes s ON c.lang = s.lang),
+    apart AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source),
+    found AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+           LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+    FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
