@@ -20,12 +20,16 @@ numbers. Ties: larger value first, then the item by its UTF-8 bytes.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.state import checkpoint
+from .common import batches_by_bytes, span_hashes
 
 C = F.col
 # Fixed values of the contract.
@@ -34,35 +38,165 @@ SCALE = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
 DIGEST_BITS = 64
+PIECE = 8_000_000  # bytes of text that are counted at once
 
 GROUP = ["lang", "source"]
 ID = ["digest", "part"]
 
 
-def _digest(term: Column, bits: int) -> Column:
-    return F.shiftright(F.xxhash64(term), 64 - bits) if bits < 64 else F.xxhash64(term)
+def _inside() -> np.ndarray:
+    """Which bytes belong to terms: letters of ASCII and every byte of other characters."""
+    out = np.zeros(256, bool)
+    out[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+    return out
 
 
-def _terms(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
-    """``lang``, ``source``, ``terms``: all terms of a document in order."""
-    lower = F.translate(F.coalesce(docs[text], F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+_INSIDE = _inside()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, last-plus-one byte and document of every term; ``offsets`` are the ends of the documents, from 0."""
+    inside = _INSIDE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    before = np.concatenate(([False], inside[:-1]))
+    after = np.concatenate((inside[1:], [False]))
+    start = np.flatnonzero(inside & (~before | cut[:-1]))
+    end = np.flatnonzero(inside & (~after | cut[1:])) + 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def _pieces(text: pa.StringArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows ``first`` to ``last`` with their bytes in lower case and offsets: about PIECE bytes at once. A longer text comes
+    in pieces that end beside a term, as ``first``, ``first`` + 1 each time."""
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    for first, last in batches_by_bytes(np.diff(ends).tolist(), PIECE):
+        at, stop = int(ends[first]), int(ends[last])
+        if stop - at <= PIECE or last - first > 1:
+            yield first, last, _LOWER[raw[at:stop]], ends[first:last + 1] - at
+            continue
+        while at < stop:
+            to = min(at + PIECE, stop)
+            outside = np.flatnonzero(~_INSIDE[raw[at:to]]) if to < stop else [to - at - 1]
+            to = at + int(outside[-1]) + 1 if len(outside) else stop  # a term longer than a piece stays whole
+            yield first, last, _LOWER[raw[at:to]], np.array([0, to - at])
+            at = to
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int) -> np.ndarray:
+    return (span_hashes(data, start, end) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _count_batch(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+    """Per group and digest: occurrences, and documents that hold it."""
+    text = batch.column("text")
+    if pa.types.is_large_string(text.type):
+        text = text.cast(pa.string())
+    pair = pa.StructArray.from_arrays([batch.column(c) for c in GROUP], GROUP)
+    one, other = (batch.column(c).dictionary_encode() for c in GROUP)
+    code = one.indices.to_numpy().astype(np.int64) * (len(other.dictionary) + 1) + other.indices.to_numpy()
+    _, where, group = np.unique(code, return_index=True, return_inverse=True)
+    group = group.astype(np.uint16 if len(where) < 1 << 16 else np.int64)
+    parts: dict[str, list[np.ndarray]] = {"group": [], "digest": [], "n": [], "docs": []}
+
+    def put(g, d, n, docs):
+        for k, v in zip(parts, (g, d, n, docs)):
+            parts[k].append(v)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    row = -1
+
+    def flush():
+        # all pieces of one long text are one document
+        if held:
+            d, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([x[1] for x in held])).astype(np.int64)
+            put(np.full(len(d), group[row]), d, n, np.ones(len(d), np.int64))
+            held.clear()
+
+    for first, last, data, offsets in _pieces(text):
+        start, end, doc = _spans(data, offsets)
+        digest = _digests(data, start, end, bits)
+        if last - first == 1:
+            if first != row:
+                flush()
+                row = first
+            held.append(np.unique(digest, return_counts=True))
+            continue
+        flush()
+        order = np.argsort(digest, kind="stable")
+        g = group[first:last][doc]
+        order = order[np.argsort(g[order], kind="stable")]
+        g, digest, doc = g[order], digest[order], doc[order]
+        new = _runs(g, digest)
+        at = np.flatnonzero(new)
+        if len(at):
+            put(g[at], digest[at], np.diff(np.append(at, len(new))),
+                np.add.reduceat((new | _runs(doc)).astype(np.int64), at))
+    flush()
+    g, d, n, docs = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in parts.values())
+    keys = pair.take(pa.array(where[g.astype(np.int64)])) if len(g) else pair.slice(0, 0)
+    return pa.RecordBatch.from_arrays([*keys.flatten(), pa.array(d), pa.array(n), pa.array(docs)],
+                                      names=[*GROUP, "digest", "n", "docs"])
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of many spans one after another, and their offsets."""
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    return data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])], offsets
+
+
+def _strings_batch(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
+    """(digest, term), every distinct pair of a piece at least once; terms of one digest are compared byte by byte."""
+    text = batch.column("text")
+    if pa.types.is_large_string(text.type):
+        text = text.cast(pa.string())
+    for _, _, data, offsets in _pieces(text):
+        start, end, _ = _spans(data, offsets)
+        if not len(start):
+            continue
+        digest, size = _digests(data, start, end, bits), end - start
+        order = np.argsort(digest, kind="stable")
+        start, size, digest = start[order], size[order], digest[order]
+        same = ~_runs(digest, size)  # may equal the term before it
+        later = np.flatnonzero(same)
+        one, at = _gathered(data, start[later], size[later])
+        two, _ = _gathered(data, start[later - 1], size[later])
+        if len(one):
+            same[later] = np.logical_and.reduceat(one == two, at[:-1])
+        shown = np.flatnonzero(~same)
+        flat, at = _gathered(data, start[shown], size[shown])
+        terms = pa.StringArray.from_buffers(len(shown), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(digest[shown]), terms], names=["digest", "term"])
+
+
+def _texts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(docs[lang], F.lit("")).alias("lang"), F.coalesce(docs[source], F.lit("")).alias("source"),
-                       F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
+                       F.coalesce(docs[text], F.lit("")).alias("text"))
 
 
-def _occurrences(terms: DataFrame, values: Column, name: str) -> DataFrame:
-    """``lang``, ``source``, ``name``, ``first``, a row per element; ``first`` is 1 for one occurrence of each value in the document."""
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """``lang``, ``source``, ``term``, ``first``, a row per term; ``first`` is 1 for one occurrence in each document."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     # sorted in a step of its own, so that the sort runs once per document and not once per element
-    ordered = terms.select(*GROUP, F.sort_array(values).alias("ordered"))
+    ordered = texts.select(*GROUP, F.sort_array(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("ordered"))
     marked = F.transform("ordered", lambda x, i: F.struct(
-        x.alias(name), F.when(F.get(C("ordered"), i - 1) == x, 0).otherwise(1).alias("first")))
+        x.alias("term"), F.when(F.get(C("ordered"), i - 1) == x, 0).otherwise(1).alias("first")))
     return ordered.select(*GROUP, F.explode(marked).alias("o")).select(*GROUP, "o.*")
 
 
-def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
-
-
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS,
                 digest_bits: int = DIGEST_BITS) -> tuple[DataFrame, DataFrame]:
     """Occurrences of the terms that ``min_docs`` documents of their language hold, and the strings of the terms.
@@ -70,27 +204,33 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     (``lang``, ``source``, ``digest``, ``part``, ``n``, ``n_all``) per group and term, ``n_all`` those of the language;
     (``digest``, ``part``, ``term``). ``part`` is 0 unless terms share the digest.
     """
-    terms = _terms(docs, lang, source, text)
-    rows = _occurrences(terms, F.transform("terms", lambda t: _digest(t, digest_bits)), "digest")
-    by_digest = checkpoint(_counted(rows, [*GROUP, "digest"]))
+    texts = _texts(docs, lang, source, text)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _count_batch(b, digest_bits)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _strings_batch(b, digest_bits)
+
+    rows = texts.mapInArrow(count, "lang string, source string, digest bigint, n bigint, docs bigint")
+    by_digest = checkpoint(rows.groupBy(*GROUP, "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     wanted = by_digest.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(C("docs") >= min_docs)
 
-    each = terms.select(F.explode(F.array_distinct("terms")).alias("term")).select(
-        _digest(C("term"), digest_bits).alias("digest"), "term").distinct()
-    ends = checkpoint(each.join(wanted.select("digest").distinct(), "digest").groupBy("digest").agg(
-        F.min("term").alias("lo"), F.max("term").alias("hi")))
-    single, shared = ends.filter("lo = hi"), ends.filter("lo < hi").select("digest")
-    names = single.select("digest", F.lit(0).alias("part"), C("lo").alias("term"))
+    each = texts.select("text").mapInArrow(strings, "digest bigint, term string").distinct()
+    each = checkpoint(each.join(wanted.select("digest").distinct(), "digest"))
+    ends = each.groupBy("digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
+    shared = checkpoint(ends.filter("lo < hi").select("digest"))
     if shared.isEmpty():
-        counts = by_digest.withColumn("part", F.lit(0))
+        names, counts = each.withColumn("part", F.lit(0)), by_digest.withColumn("part", F.lit(0))
     else:
-        exact = _counted(_occurrences(terms, C("terms"), "term"), [*GROUP, "term"])
-        exact = checkpoint(exact.withColumn("digest", _digest(C("term"), digest_bits)).join(shared, "digest"))
-        parts = exact.select("digest", "term").distinct().withColumn(
+        parts = each.join(shared, "digest").withColumn(
             "part", F.row_number().over(W.partitionBy("digest").orderBy("term")))
-        split = exact.join(parts, ["digest", "term"]).drop("term")
+        names = each.join(shared, "digest", "left_anti").withColumn("part", F.lit(0)).unionByName(parts)
+        exact = _occurrences(texts).groupBy(*GROUP, "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+        split = exact.join(parts, "term").drop("term")
         counts = by_digest.join(shared, "digest", "left_anti").withColumn("part", F.lit(0)).unionByName(split)
-        names = names.unionByName(parts)
     kept = counts.groupBy("lang", *ID).agg(F.sum("docs").alias("all_docs"), F.sum("n").alias("n_all")).filter(
         C("all_docs") >= min_docs)
     cells = counts.join(kept.drop("all_docs"), ["lang", *ID]).select(*GROUP, *ID, "n", "n_all")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, quality, token_counts, toxicity
+from . import divergence, html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, periodic_runs, quality, token_counts, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.summary(periodic_runs.periodic_runs(docs, words_of=periodic_runs.looped, with_text=False))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_html_extraction, op3_sentencepiece_sampling, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
-    op8_nearest_neighbours, op9_language_id, op10_quality_rules, op11_source_divergence)}
+    op8_nearest_neighbours, op9_language_id, op10_quality_rules, op11_source_divergence, op12_periodic_runs)}
 
 _MEASURED = r"""
     words AS (
@@ -129,4 +134,40 @@ SQL: dict[str, str] = {
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
     SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
     FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    # crc32 bit by bit: a number from 0 on is a byte to take in, -1 shifts by one bit
+    "op12_periodic_runs": r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS id, doc_id,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+               string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS h
+      FROM documents),
+    planted AS (
+      SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a,
+             1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM docs),
+    texts AS (
+      SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+        list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+      FROM planted),
+    words AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+    matches AS (
+      SELECT x.id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.id = y.id AND x.word = y.word AND y.i > x.i
+      WHERE 2 * (y.i - x.i) <= x.n),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS k FROM matches),
+    stretches AS (SELECT id, q, min(i) AS s, count(*) + q AS length FROM islands GROUP BY id, q, k
+                  HAVING count(*) + q >= greatest(12, 2 * q)),
+    runs AS (SELECT id, s, length, min(q) AS q FROM stretches GROUP BY id, s, length),
+    gone AS (SELECT DISTINCT id, unnest(range(s + q, s + length)) AS i FROM runs),
+    kept AS (SELECT w.id, string_agg(w.word, ' ' ORDER BY w.i) AS body FROM words w LEFT JOIN gone g ON w.id = g.id AND w.i = g.i
+             WHERE g.id IS NULL GROUP BY w.id),
+    found AS (
+      SELECT id, count(*) AS n_runs, first(s ORDER BY length DESC, s, q) AS start, first(length ORDER BY length DESC, s, q) AS length,
+             first(q ORDER BY length DESC, s, q) AS period,
+             string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+      FROM runs GROUP BY id)
+    SELECT t.doc_id, coalesce(f.n_runs, 0)::BIGINT AS n_runs, f.start::BIGINT AS start, f.length::BIGINT AS length,
+           f.period::BIGINT AS period, (1000 * f.length // f.period)::BIGINT AS exponent_milli,
+           sha256(coalesce(f.lines, '')) AS runs_sha256, sha256(coalesce(k.body, '')) AS collapsed_sha256
+    FROM texts t LEFT JOIN found f ON t.id = f.id LEFT JOIN kept k ON t.id = k.id""",
 }

@@ -52,11 +52,31 @@ def corpus():
 @pytest.mark.parametrize("bits", [64, 3, 1])
 def test_divergence_is_the_plain_one(spark, bits):
     rows = corpus()
+    if bits == 3:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     got = divergence.divergence(frame(spark, rows), min_docs=4, top=3, digest_bits=bits)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, got.collect())) == plain(rows, 4, 3)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", 50)
+    texts = ["Aa bb " * 40 + "ü" * 90 + " bb", "", "x aa", "bb." * 9, "", "cc bb"]
+    batch = divergence.pa.RecordBatch.from_pydict({"lang": ["l"] * 6, "source": list("ababab"), "text": texts})
+    counts, docs = Counter(), Counter()
+    for r in divergence._count_batch(batch, 64).to_pylist():
+        counts[r["source"], r["digest"]] += r["n"]
+        docs[r["source"], r["digest"]] += r["docs"]
+    term = {r["digest"]: r["term"] for b in divergence._strings_batch(batch, 64) for r in b.to_pylist()}
+    want, held = Counter(), Counter()
+    for s, t in zip("ababab", texts):
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
+        want.update((s, x) for x in found)
+        held.update((s, x) for x in set(found))
+    assert {(s, term[d]): n for (s, d), n in counts.items()} == want
+    assert {(s, term[d]): n for (s, d), n in docs.items()} == held
+
+
 def test_terms_that_share_a_digest_are_kept_by_their_own_documents(spark):
     # two terms of one digest, each in fewer documents than needed, both in enough together
     rows = [("eins", "de", "a")] * 3 + [("zwei", "de", "b")] * 3
