@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, periodic_runs, quality, token_counts, toxicity
+from . import credentials, divergence, html_extract, language, lattice_sampling, line_duplicates, near_duplicates, neighbours, packing, periodic_runs, quality, token_counts, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.periodic_runs(docs, words_of=periodic_runs.looped, with_text=False))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.summary(credentials.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_html_extraction, op3_sentencepiece_sampling, op4_best_fit_packing, op5_minhash_near_dedup, op6_token_counts, op7_line_dedup,
-    op8_nearest_neighbours, op9_language_id, op10_quality_rules, op11_source_divergence, op12_periodic_runs)}
+    op8_nearest_neighbours, op9_language_id, op10_quality_rules, op11_source_divergence, op12_periodic_runs,
+    op13_secret_scan)}
 
 _MEASURED = r"""
     words AS (
