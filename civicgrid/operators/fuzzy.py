@@ -1,30 +1,138 @@
 """Names matched by similarity inside a district.
 
-Both sides are reduced to distinct (district, name) first. Candidates come from shared letter pairs, so no district is
-compared all against all. For the edit score the shared pair is a complete filter: at most k edits destroy 2k letter
-pairs, so of any 2k + 1 pairs taken in one fixed order at least one survives on both sides. For the weighted score (from a
-threshold of 75 on) names of five letters and more share a letter pair of the name or of a word with a space on either side,
-in whatever order the words are compared; shorter ones share a letter.
+Both sides are reduced to distinct (district, name) first, and no district is compared all against all.
+
+For the weighted score (the default) every comparison it takes the best of asks for common letter pairs: two strings of p and q
+letters at ratio r hold an ordered common part of r (p + q) / 2 letters, which indels cut into pieces, so at least
+(1.5 r - 1)(p + q) - 1 pairs of neighbouring letters are common. Letter pairs stand in one global order, rarest first, and the shorter
+name files only as many of them as must include a common one (prefix filter); the longer name files all. Pairs of the name as it is
+and pairs of its words with a blank on either side, in any order of words, are filed apart, each with its own bound. Names too short for
+a pair file their rarest letters instead. What meets must then pass, in the JVM, a bound on lengths and on the letters that one
+name has and the other lacks. One comparison needs no likeness at all: a common word makes names of quite different length agree at
+a fixed score. There every name meets, per word and length, only the rows that can decide: the smallest id and the two ends of the areas.
+
+For the plain edit score at most k edits destroy 2k letter pairs, so of any 2k + 1 pairs taken in one fixed order at least one survives
+on both sides.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.similarity import weighted_ratio_column
+from ..functions.similarity import LONG_PARTIAL_SCALE, PARTIAL_SCALE, TOKEN_SCALE, weighted_ratio_column
+from .state import checkpoint
 
 C = F.col
+SPACES = r"(?U)[\s\x1c-\x1f]"
 
 
-def _pairs(name: Column) -> Column:
-    """Distinct letter pairs with their occurrence number, so repeated pairs count as different."""
-    raw = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
-    return F.transform(raw, lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+def _numbered(parts: Column) -> Column:
+    """Each element with its occurrence number, so repeated ones count as different."""
+    return F.transform(parts, lambda g, i: F.concat(
+        g, F.lit("#"), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def _windows(name: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (width - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(width)))
 
 
+def _pairs(name: Column) -> Column:
+    return _numbered(_windows(name, 2))
+
+
+# ---- weighted score
+
+def _profiles(names: DataFrame, threshold: float) -> DataFrame:
+    """``district``, ``name``, ``long`` and ``short`` lengths, ``mask`` of its letters, and ``filed``: per kind of key the keys, the
+    length that decides which name is the shorter one, and how many keys must be common (0: this kind says nothing)."""
+    t = threshold / 100
+    word, part = t / TOKEN_SCALE, t / PARTIAL_SCALE
+    letters = min(t, part / (2 - part))  # share of the shorter name's letters that the other one has
+    df = names.select("district", "name", F.length("name").alias("long"),
+                      F.filter(F.split("name", SPACES + "+"), lambda w: w != "").alias("_words"))
+    df = df.withColumns({
+        "short": F.length(F.array_join(F.array_distinct("_words"), " ")),
+        "_padded": F.flatten(F.transform("_words", lambda w: _windows(F.concat(F.lit(" "), w, F.lit(" ")), 2))),
+        "_raw": _windows(C("name"), 2), "_letters": _windows(F.regexp_replace("name", SPACES, " "), 1)})
+    df = df.withColumns({c: _numbered(C(c)) for c in ("_padded", "_raw", "_letters")})
+
+    def need(share: float, length: str) -> Column:
+        return F.greatest(F.ceil(C(length) * F.lit(3 * share - 2) - 1 - 1e-9).cast("int"), F.lit(0))
+
+    tiny = (need(t, "long") < 1) | (need(word, "short") < 1)
+    few = F.when(tiny, F.greatest(F.ceil(C("short") * F.lit(letters) - 1e-9).cast("int"), F.lit(1))).otherwise(0)
+    kinds = [("r", "_raw", C("long"), need(t, "long")), ("w", "_padded", C("short"), need(word, "short")), ("l", "_letters", F.lit(0), few)]
+    bit = F.aggregate("_letters", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    return df.select("district", "name", "long", "short", bit.alias("mask"), "_words", F.array(*[
+        F.struct(F.lit(k).alias("kind"), C(c).alias("keys"), size.cast("int").alias("size"), n.alias("need"))
+        for k, c, size, n in kinds]).alias("filed"))
+
+
+def _filed(profiles: DataFrame, frequency: DataFrame) -> DataFrame:
+    """One row per name and key; ``early`` where the key is among those that must include a common one."""
+    each = profiles.select("district", "name", "long", "short", "mask", F.explode("filed").alias("f"))
+    each = each.select("district", "name", "long", "short", "mask", "f.kind", "f.size", "f.need", F.size("f.keys").alias("_n"),
+                       F.explode("f.keys").alias("key"))
+    ranked = each.join(frequency, ["kind", "key"], "left").withColumn("_at", F.row_number().over(
+        W.partitionBy("district", "name", "kind").orderBy(F.coalesce("n_names", F.lit(0)), "key")))
+    return ranked.withColumn("early", (C("need") > 0) & (C("_at") <= C("_n") - C("need") + 1)).drop("n_names", "_at", "_n", "need")
+
+
+def _meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(district, l_name, r_name) that may reach the threshold by common letters. ``left``, ``right``: profiles."""
+    frequency = right.select(F.explode("filed").alias("f")).select("f.kind", F.explode("f.keys").alias("key")).groupBy(
+        "kind", "key").agg(F.count(F.lit(1)).alias("n_names"))
+    sides = []
+    for profiles, side in ((left, "l"), (right, "r")):
+        filed = _filed(profiles, frequency)
+        # written: each side is read twice, and keys and their order are costly
+        sides.append(checkpoint(filed.select("district", "kind", "key", *[C(c).alias(f"{side}_{c}") for c in (
+            "name", "long", "short", "mask", "size", "early")])))
+    lk, rk = sides
+    on = ["district", "kind", "key"]
+    by_left = lk.filter("l_early").join(rk, on).filter("l_size <= r_size")
+    by_right = lk.join(rk.filter("r_early"), on).filter("r_size <= l_size")
+    t = threshold / 100
+    part = t / PARTIAL_SCALE
+    least = F.ceil(F.least("l_short", "r_short") * F.lit(min(t, part / (2 - part))) - 1e-9)
+    met = by_left.unionByName(by_right).filter(F.greatest("l_long", "r_long") <= 8 * F.least("l_long", "r_long"))
+    missing = [C(f"{a}_long") - F.bit_count(C(f"{a}_mask").bitwiseAND(F.bitwise_not(C(f"{b}_mask")))) for a, b in ("lr", "rl")]
+    return met.filter((missing[0] >= least) & (missing[1] >= least)).select("district", "l_name", "r_name")
+
+
+def _common_words(left: DataFrame, right: DataFrame, ids: DataFrame) -> DataFrame:
+    """Names of quite different length with a common word: per word and length the right names that can decide.
+
+    ``ids``: district, name, id, area, one row per right row.
+    """
+    ends = ids.groupBy("district", "name").agg(F.min("id").alias("id"), F.min("area").alias("lo"), F.max("area").alias("hi"))
+    rows = right.select("district", "name", C("long").alias("r_long"), F.explode(F.array_distinct("_words")).alias("word")).join(
+        ends, ["district", "name"])
+    chosen = rows.groupBy("district", "word", "r_long").agg(F.array(
+        F.min_by("name", "id"), F.min_by("name", F.struct("lo", "id")), F.max_by("name", F.struct("hi", "id"))).alias("names"))
+    words = left.select("district", C("name").alias("l_name"), C("long").alias("l_long"), F.explode(F.array_distinct("_words")).alias("word"))
+    most, least = F.greatest("l_long", "r_long"), F.least("l_long", "r_long")
+    met = words.join(chosen, ["district", "word"]).filter((2 * most >= 3 * least) & (most <= 8 * least))
+    return met.select("district", "l_name", F.explode(F.array_distinct("names")).alias("r_name"))
+
+
+def _weighted_pairs(left: DataFrame, right: DataFrame, threshold: float, area: str | None) -> DataFrame:
+    if threshold / 100 * 3 - 2 <= 0.1 or threshold / 100 <= LONG_PARTIAL_SCALE:
+        raise ValueError("the weighted score needs a threshold of at least 70")
+    lp = _profiles(left.select("district", "name").filter("trim(name) <> ''").distinct(), threshold)
+    rp = _profiles(right.select("district", "name").filter("trim(name) <> ''").distinct(), threshold)
+    pairs = _meetings(lp, rp, threshold)
+    if threshold <= 100 * TOKEN_SCALE * PARTIAL_SCALE:
+        ids = right.select("district", "name", "id", F.coalesce(C(area), F.lit("")).alias("area") if area else F.lit("").alias("area"))
+        pairs = pairs.unionByName(_common_words(lp, rp, ids))
+    return pairs.distinct().withColumn("score", weighted_ratio_column(C("l_name"), C("r_name")))
+
+
+# ---- edit score
+
 def _edit_keys(name: Column, threshold: float) -> Column:
     """Letter pairs that must meet: the first 2k + 1 in hash order; names too short for that file under themselves."""
     # The longer name is at most len * 100 / threshold letters, which bounds the edits.
@@ -35,39 +143,20 @@ def _edit_keys(name: Column, threshold: float) -> Column:
     return F.when(short, F.array(F.lit("*"))).otherwise(chosen)
 
 
-def _score_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bool) -> DataFrame:
+def _score_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bool, area: str | None = None) -> DataFrame:
     """(district, l_name, r_name, score) of distinct names with score >= threshold."""
+    if strict:
+        return _weighted_pairs(left, right, threshold, area).filter(C("score") >= threshold)
     ln = left.select("district", C("name").alias("l_name")).filter("trim(l_name) <> ''").distinct()
     rn = right.select("district", C("name").alias("r_name")).filter("trim(r_name) <> ''").distinct()
-    if strict:
-        def grams(n: Column, own: str, other: str) -> Column:
-            letters = F.array_distinct(F.split(n, ""))
-            words = F.array_distinct(F.filter(F.split(n, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
-            tagged = F.transform(letters, lambda x: F.concat(F.lit(other), x))
-            # repeated words count once in some comparisons, so what is left of them may be short
-            mine = F.when(F.least(F.length(n), F.length(F.array_join(words, " "))) < 5, F.transform(letters, lambda x: F.concat(F.lit(own), x))).otherwise(
-                F.array().cast("array<string>"))
-
-            def pairs_in(x: Column) -> Column:
-                return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
-
-            spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-            return F.array_distinct(F.concat(pairs_in(n), pairs_in(spaced), tagged, mine))
-
-        # Short names may agree without a common letter pair; they also meet every name that shares a letter.
-        lk = ln.withColumn("_g", F.explode(grams(C("l_name"), "<", ">")))
-        rk = rn.withColumn("_g", F.explode(grams(C("r_name"), ">", "<")))
-        pairs = lk.join(rk, ["district", "_g"]).select("district", "l_name", "r_name").distinct()
-        score = weighted_ratio_column(C("l_name"), C("r_name"))
-    else:
-        lk = ln.withColumn("_g", F.explode(_edit_keys(C("l_name"), threshold)))
-        rk = rn.withColumn("_g", F.explode(_edit_keys(C("r_name"), threshold)))
-        tight = lk.filter("_g <> '*'").join(rk.filter("_g <> '*'"), ["district", "_g"])
-        # Names short enough to lose every pair meet by length instead: few edits keep lengths close.
-        few = _short_pairs(ln, rn, lk, rk)
-        pairs = tight.select("district", "l_name", "r_name").unionByName(few).distinct()
-        longest = F.greatest(F.length("l_name"), F.length("r_name"))
-        score = (F.lit(1.0) - F.levenshtein("l_name", "r_name") / longest) * 100.0
+    lk = ln.withColumn("_g", F.explode(_edit_keys(C("l_name"), threshold)))
+    rk = rn.withColumn("_g", F.explode(_edit_keys(C("r_name"), threshold)))
+    tight = lk.filter("_g <> '*'").join(rk.filter("_g <> '*'"), ["district", "_g"])
+    # Names short enough to lose every pair meet by length instead: few edits keep lengths close.
+    few = _short_pairs(ln, rn, lk, rk)
+    pairs = tight.select("district", "l_name", "r_name").unionByName(few).distinct()
+    longest = F.greatest(F.length("l_name"), F.length("r_name"))
+    score = (F.lit(1.0) - F.levenshtein("l_name", "r_name") / longest) * 100.0
     return pairs.withColumn("score", score).filter(C("score") >= threshold)
 
 
@@ -84,10 +173,10 @@ def _short_pairs(ln: DataFrame, rn: DataFrame, lk: DataFrame, rk: DataFrame) ->
     return a.unionByName(b)
 
 
-def best_match(left: DataFrame, right: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
     """Best right row per left row: id, match_id, score. The smallest right id wins ties; no match gives no row.
 
-    ``left``: id, district, name. ``right``: id, district, name.
+    ``left``: id, district, name. ``right``: id, district, name. ``strict``: the weighted score; else the plain edit score.
     """
     scored = _score_pairs(left, right, threshold, strict)
     first = right.groupBy("district", C("name").alias("r_name")).agg(F.min("id").alias("match_id"))
@@ -98,7 +187,7 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float, strict: bool
 
 
 def match_either(left: DataFrame, right: DataFrame, threshold: float, first: str, second: str,
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = True) -> DataFrame:
     """Match on ``first``; rows without a match try ``second``: id, match_id, score, match_field."""
     a = best_match(left.withColumn("name", C(first)), right, threshold, strict).withColumn("match_field", F.lit(first))
     rest = left.join(a.select("id"), "id", "left_anti")
@@ -106,9 +195,9 @@ def match_either(left: DataFrame, right: DataFrame, threshold: float, first: str
     return a.unionByName(b)
 
 
-def unambiguous_link(left: DataFrame, right: DataFrame, threshold: float, area: str, strict: bool = False) -> DataFrame:
+def unambiguous_link(left: DataFrame, right: DataFrame, threshold: float, area: str, strict: bool = True) -> DataFrame:
     """Links that leave no doubt: all best hits lie in one ``area`` and no right row is claimed twice."""
-    scored = _score_pairs(left, right, threshold, strict)
+    scored = _score_pairs(left, right, threshold, strict, area)
     top = scored.groupBy("district", "l_name").agg(F.max("score").alias("score"))
     hits = scored.join(top, ["district", "l_name", "score"]).join(
         right.select("district", C("name").alias("r_name"), C("id").alias("match_id"), area), ["district", "r_name"])

@@ -23,28 +23,34 @@ _LEV = "(1e0 - levenshtein(l.name, p.name) / (greatest(length(l.name), length(p.
              ORDER BY {_LEV} DESC, p.id) AS rn FROM l JOIN places p ON p.district = l.district) x WHERE rn = 1 AND score >= 75)
            SELECT l0.id, b.match_id, b.score FROM l0 JOIN b ON b.district = l0.district AND b.name = l0.name""", "places")
 def fuzzy_match(v):
-    return fuzzy.best_match(v.sql(TYPED), v.places.select("id", "district", "name"), 75.0)
+    return fuzzy.best_match(v.sql(TYPED), v.places.select("id", "district", "name"), 75.0, strict=False)
 
 
-@query("jon_18_weighted_ratio", "JON-18", "id:i match_id:i score:d")
-def fuzzy_strict(v):
-    return fuzzy.best_match(v.sql(TYPED), v.places.select("id", "district", "name"), 75.0, strict=True)
+def _scored(left: str, right: str) -> str:
+    """CTEs: every distinct pair of names of one district (``met``) and its weighted score (``sc``)."""
+    return f"""met AS (SELECT DISTINCT l.name AS a, r.name AS b FROM {left} l JOIN {right} r ON r.district = l.district), sc AS {S.weighted('met')}"""
 
 
-WORK_ENDS = """SELECT w.work_id AS id, p.district, CASE w.work_id % 3 WHEN 0 THEN 'Junction' ELSE p.name || 'x' END AS road_to, p.name AS road_from
-  FROM {works} w JOIN {places} p ON p.id = w.place_id"""
-_L2 = "(1e0 - levenshtein(l.{f}, p.name) / (greatest(length(l.{f}), length(p.name)) * 1e0)) * 100e0"
+def _best_weighted(left: str, at_least: int) -> str:
+    """The best place per row of ``left`` (id, district, name)."""
+    return (f"(SELECT id, match_id, score FROM (SELECT l.id, p.id AS match_id, score, row_number() OVER (PARTITION BY l.id ORDER BY score DESC, p.id) AS rn "
+            f"FROM {left} l JOIN places p ON p.district = l.district JOIN sc ON sc.a = l.name AND sc.b = p.name) x WHERE rn = 1 AND score >= {at_least})")
 
 
-def _best(field: str) -> str:
-    s = _L2.replace("{f}", field)
-    return (f"(SELECT * FROM (SELECT l.id, p.id AS match_id, {s} AS score, '{field}' AS match_field, row_number() OVER (PARTITION BY l.id ORDER BY {s} DESC, p.id) AS rn"
-            f" FROM l JOIN places p ON p.district = l.district) x WHERE rn = 1 AND score >= 80)")
+@query("jon_18_weighted_ratio", "JON-18", "id:i match_id:i score:d",
+       f"""WITH l AS ({TYPED_SQL}), {_scored('l', 'places')} SELECT * FROM {_best_weighted('l', 75)}""", "places")
+def fuzzy_strict(v):
+    return fuzzy.best_match(v.sql(TYPED), v.places.select("id", "district", "name"), 75.0)
+
 
+WORK_ENDS = """SELECT w.work_id AS id, p.district, CASE w.work_id % 3 WHEN 0 THEN 'Junction' ELSE p.name || 'x' END AS road_to, p.name AS road_from
+  FROM {works} w JOIN {places} p ON p.id = w.place_id"""
 
 @query("jon_18_work_endpoints", "JON-18", "id:i match_id:i score:d match_field:s",
-       f"""WITH l AS ({WORK_ENDS.format(works='works', places='places')}), a AS {_best('road_to')}, b AS {_best('road_from')}
-           SELECT id, match_id, score, match_field FROM a UNION ALL SELECT id, match_id, score, match_field FROM b WHERE id NOT IN (SELECT id FROM a)""",
+       f"""WITH w AS ({WORK_ENDS.format(works='works', places='places')}), l AS (SELECT id, district, road_to AS name FROM w UNION ALL SELECT id, district, road_from FROM w),
+           {_scored('l', 'places')}, a AS {_best_weighted('(SELECT id, district, road_to AS name FROM w)', 80)},
+           b AS {_best_weighted('(SELECT id, district, road_from AS name FROM w)', 80)}
+           SELECT id, match_id, score, 'road_to' AS match_field FROM a UNION ALL SELECT id, match_id, score, 'road_from' FROM b WHERE id NOT IN (SELECT id FROM a)""",
        "works places")
 def work_endpoints(v):
     return fuzzy.match_either(v.sql(WORK_ENDS), v.places.select("id", "district", "name"), 80.0, "road_to", "road_from")
@@ -56,8 +62,8 @@ LGD = """SELECT c_custkey + 900000 AS id, p.district, p.block AS subdistrict, CA
 
 @query("jon_19_unambiguous_link", "JON-19", "id:i match_id:i score:d",
        f"""WITH r AS ({LGD.format(customer='customer', places='places')}),
-           s AS (SELECT l.id, r.id AS rid, r.subdistrict, (1e0 - levenshtein(l.name, r.name) / (greatest(length(l.name), length(r.name)) * 1e0)) * 100e0 AS score
-                 FROM places l JOIN r ON r.district = l.district),
+           {_scored('places', 'r')},
+           s AS (SELECT l.id, r.id AS rid, r.subdistrict, score FROM places l JOIN r ON r.district = l.district JOIN sc ON sc.a = l.name AND sc.b = r.name),
            t AS (SELECT id, max(score) AS top FROM s WHERE score >= 85 GROUP BY id),
            k AS (SELECT s.id, min(rid) AS match_id, max(score) AS score FROM s JOIN t ON t.id = s.id AND s.score = t.top GROUP BY s.id
                  HAVING count(DISTINCT subdistrict) = 1)

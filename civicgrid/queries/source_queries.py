@@ -182,13 +182,13 @@ def tap_coverage(v):
 
 _WT = """SELECT district, cast(id AS STRING) AS VillageId, CASE id % 5 WHEN 0 THEN '--Select--' WHEN 1 THEN name || 'a' ELSE name END AS VillageName,
   CASE WHEN id % 3 = 0 THEN NULL ELSE cast(id % 50 AS STRING) END AS Nos_of_Sample_tested, cast(id % 4 AS STRING) AS Nos_of_Villages_FTK_testing_not_carried FROM {places}"""
-_LEVW = "(1e0 - levenshtein(w.VillageName, p.name) / (greatest(length(w.VillageName), length(p.name)) * 1e0)) * 100e0"
 
 
 @query("src_13_water_tests", "SRC-13", "village_id:s place_id:i samples_tested:i villages_not_tested:i",
        f"""WITH w AS (SELECT * FROM ({_WT.format(places='places')}) q WHERE VillageName <> '--Select--'),
-           m AS (SELECT VillageId, pid FROM (SELECT w.VillageId, p.id AS pid, {_LEVW} AS s, row_number() OVER (PARTITION BY w.VillageId ORDER BY {_LEVW} DESC, p.id) AS rn
-                 FROM w JOIN places p ON p.district = w.district) x WHERE rn = 1 AND s >= 88)
+           met AS (SELECT DISTINCT w.VillageName AS a, p.name AS b FROM w JOIN places p ON p.district = w.district), sc AS {S.weighted('met')},
+           m AS (SELECT VillageId, pid FROM (SELECT w.VillageId, p.id AS pid, score, row_number() OVER (PARTITION BY w.VillageId ORDER BY score DESC, p.id) AS rn
+                 FROM w JOIN places p ON p.district = w.district JOIN sc ON sc.a = w.VillageName AND sc.b = p.name) x WHERE rn = 1 AND score >= 88)
            SELECT w.VillageId AS village_id, m.pid AS place_id, coalesce(try_cast(Nos_of_Sample_tested AS BIGINT), 0) AS samples_tested, try_cast(Nos_of_Villages_FTK_testing_not_carried AS BIGINT) AS villages_not_tested
            FROM w LEFT JOIN m USING (VillageId)""", "places")
 def water_test_rows(v):

@@ -92,3 +92,44 @@ def score_sql(source: str, keys: str, severity_mean: str) -> str:
         f"SELECT *, {rnd(total, 2)} AS priority_score FROM (SELECT {keys}, {inner}, {rnd(gap, 4)} AS gap_score,"
         f" {rnd(gate, 4)} AS confidence_gate FROM {source}) nine"
     )
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence, one bit per letter of ``a``, letter by letter of ``b``."""
+    full = f"((1::HUGEINT << length({a})::INT) - 1)"
+    return (
+        f"(length({a}) - bit_count(list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda ch: coalesce(list_sum("
+        f"list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, i + 1, 1) = ch THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END)), 0)::HUGEINT)),"
+        f" lambda o, m: ((o + (o & m)) | (o - (o & m))) & {full})))"
+    )
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 100e0 WHEN length({a}) = 0 THEN 0e0 ELSE 200e0 * {_lcs(a, b)} / (length({a}) + length({b})) END)"
+
+
+def _partial(a: str, b: str) -> str:
+    """The best ratio of the shorter text with a window of its length over the longer one."""
+    less = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)"
+    more = f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
+    piece = f"substr({more}, greatest(k, 0) + 1, length({less}) + least(k, 0))"
+    return (f"(CASE WHEN least(length({a}), length({b})) = 0 THEN 0e0 ELSE list_max(list_transform("
+            f"range(1 - length({less}), length({more})), lambda k: {ratio(less, piece)})) END)")
+
+
+def weighted(pairs: str) -> str:
+    """A relation of (a, b, score) from one of distinct (a, b): the weighted ratio as published, for DuckDB."""
+    joined = "array_to_string({x}, ' ')"
+    return f"""(SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0e0
+        WHEN span < 1.5 THEN greatest(plain, 0.95e0 * greatest({ratio('sa', 'sb')}, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0e0
+             WHEN len(common) > 0 AND (len(oa) = 0 OR len(ob) = 0) THEN 100e0
+             ELSE greatest({ratio('fa', 'fb')}, CASE WHEN shared = '' THEN 0e0 ELSE greatest({ratio('shared', 'fa')}, {ratio('shared', 'fb')}) END) END))
+        ELSE greatest(plain, {_partial('a', 'b')} * scale, CASE WHEN len(common) > 0 THEN 100e0
+             ELSE greatest({_partial('sa', 'sb')}, {_partial('da', 'db')}) END * 0.95e0 * scale) END AS score
+      FROM (SELECT *, {ratio('a', 'b')} AS plain, CASE WHEN span <= 8 THEN 0.9e0 ELSE 0.6e0 END AS scale, {joined.format(x='list_sort(ta)')} AS sa,
+             {joined.format(x='list_sort(tb)')} AS sb, {joined.format(x='oa')} AS da, {joined.format(x='ob')} AS db, {joined.format(x='common')} AS shared,
+             trim({joined.format(x='common')} || ' ' || {joined.format(x='oa')}) AS fa, trim({joined.format(x='common')} || ' ' || {joined.format(x='ob')}) AS fb
+        FROM (SELECT *, list_sort(list_distinct(list_intersect(ta, tb))) AS common, list_sort(list_distinct(list_filter(ta, lambda x: NOT list_contains(tb, x)))) AS oa,
+               list_sort(list_distinct(list_filter(tb, lambda x: NOT list_contains(ta, x)))) AS ob
+          FROM (SELECT a, b, greatest(length(a), length(b)) * 1e0 / greatest(least(length(a), length(b)), 1) AS span,
+                 list_filter(string_split(a, ' '), lambda x: x <> '') AS ta, list_filter(string_split(b, ' '), lambda x: x <> '') AS tb FROM {pairs}) w1) w2) w3)"""

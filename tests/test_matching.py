@@ -22,7 +22,7 @@ def test_best_match_misses_nothing(spark):
     left = spark.createDataFrame([(i, "d", w) for i, w in enumerate(words)], "id long, district string, name string")
     right = spark.createDataFrame([(i, "d", w) for i, w in enumerate(names)], "id long, district string, name string")
     for limit in (60.0, 75.0, 88.0):
-        got = {r.id: r.match_id for r in fuzzy.best_match(left, right, limit).collect()}
+        got = {r.id: r.match_id for r in fuzzy.best_match(left, right, limit, strict=False).collect()}
         want = {}
         for i, w in enumerate(words):
             best = max(((1 - lev(w, n) / max(len(w), len(n))) * 100, -j) for j, n in enumerate(names))
@@ -51,6 +51,43 @@ def test_weighted_match_misses_nothing(spark):
         assert got == want
 
 
+def test_weighted_links_agree_with_all_pairs(spark):
+    rnd = random.Random(12)
+    words = ["nagar", "wadi", "pur", "kagal", "x", "ab", "shirol", "new", "old", "gaon", "khurd"]
+
+    def name():
+        return rnd.choice((" ", "  ")).join(rnd.choice(words) + rnd.choice(("", "", "a", "i")) for _ in range(rnd.randint(1, 5)))
+
+    left = [(i, rnd.choice("de"), name()) for i in range(120)]
+    right = [(i + 500, rnd.choice("de"), name(), rnd.choice(("A", "A", "B", None))) for i in range(120)]
+    lf = spark.createDataFrame(left, "id long, district string, name string")
+    rf = spark.createDataFrame(right, "id long, district string, name string, area string")
+    for limit in (75.0, 85.0, 88.0):
+        best, links = {}, {}
+        for i, d, w in left:
+            hits = [(weighted_ratio(w, n), -j, a or "") for j, e, n, a in right if e == d]
+            top = max(hits)
+            if top[0] >= limit:
+                best[i] = (-top[1], top[0])
+                if len({h[2] for h in hits if h[0] == top[0]}) == 1:
+                    links[i] = -max(h[1] for h in hits if h[0] == top[0])
+        assert {r.id: (r.match_id, r.score) for r in fuzzy.best_match(lf, rf, limit).collect()} == best
+        claims = list(links.values())
+        assert {r.id: r.match_id for r in fuzzy.unambiguous_link(lf, rf, limit, "area").collect()} == {
+            i: j for i, j in links.items() if claims.count(j) == 1}
+
+
+def test_common_words_do_not_pair_all_names(spark):
+    """A word in every name: pairs grow with words and lengths, not with the square of the names."""
+    rows = [(i, "d", f"{w} nagar") for i, w in enumerate("".join(c) for c in itertools.islice(itertools.permutations("abcdefgh", 6), 400))]
+    left = spark.createDataFrame([(i, d, n + " khurd budruk") for i, d, n in rows[:200]], "id long, district string, name string")
+    right = spark.createDataFrame(rows, "id long, district string, name string")
+    profiles = [fuzzy._profiles(x.select("district", "name"), 85.0) for x in (left, right)]
+    assert fuzzy._common_words(*profiles, right.withColumn("area", fuzzy.F.lit(""))).count() <= 3 * 200
+    got = {r.id: r.match_id for r in fuzzy.best_match(left, right, 85.0).collect()}
+    assert got == {i: max(((weighted_ratio(n + " khurd budruk", m), -j) for j, _, m in rows))[1] * -1 for i, _, n in rows[:200]}
+
+
 def test_reports_are_placed_by_the_weighted_score(spark):
     reports = spark.createDataFrame([(1, "No water in Kagal Gaothan since Monday", 0, "D")],
                                     "id long, raw_text string, duplicate_count int, district string")
