@@ -1,4 +1,4 @@
-"""Nearest neighbours by inner product: shifted Hilbert curves whose windows follow measured recall, or an exact blocked pass.
+"""Nearest neighbours by inner product: shifted Hilbert curves whose windows follow measured recall.
 
 * Every curve projects the vectors at random to a few dimensions, maps each to (0, 1) by the normal distribution, shifts the
   result and reads it as a place on a Hilbert curve. Rows are range-partitioned by (curve, range of norms, place) and numbered.
@@ -7,10 +7,9 @@
 * Largest inner product is turned into smallest angle first: stored vectors get one more component that gives all of a range
   the same length, queries get a zero there. Ranges are octaves of the norm, at most ``RANGES`` after the thinnest are merged,
   each with a longest vector of its own, so a few long vectors do not press all others together.
-* The size of a block follows the table: the lists of ``PROBES`` queries are found by brute force, and the smallest block (by
-  doubling, up to ``LARGEST``) whose windows hold ``RECALL`` of them is taken. Where no such windows look at fewer rows than
-  the table has, every query meets every row instead, block by block, and the lists are exact. Vectors spread evenly in many
-  dimensions always end there, and the work then grows with queries times rows.
+* The size of a block follows the data: the lists of ``PROBES`` queries are found by brute force, and the smallest block (by
+  doubling from ``BLOCK`` to ``LARGEST``) whose windows hold ``RECALL`` of them is taken; if none does, the largest. This is the path at
+  every size. ``exact=True`` asks for the lists of all rows instead: every query meets every row, block by block.
 * Equal vectors are one entry with the ids it stands for, so ties and crowds of equal vectors are exact.
 
 A block is bounded, however crowded a region is. See the README for measured figures. Vectors that are null, zero, or hold null
@@ -35,7 +34,7 @@ from ..operators.state import checkpoint
 
 C = F.col
 CURVES, DIMENSIONS, BITS = 24, 6, 10
-BLOCK, SIDE, LARGEST = 1024, 1, 1 << 16
+BLOCK, SIDE, LARGEST = 16, 1, 1 << 16
 # Recall that the windows must show on so many queries; ranges of norms.
 RECALL, PROBES, RANGES = 0.96, 100, 8
 # Exact pass: least number of row blocks, rows of a block, queries that meet a block at once.
@@ -89,9 +88,9 @@ def places(v: np.ndarray, curve: int, dimensions: int = DIMENSIONS, bits: int =
 
 
 def _matrix(column: pa.Array, at: np.ndarray, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)  # single precision where the table holds that
     offsets = column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
-    return flat[offsets[at][:, None] + np.arange(width)]
+    return flat[offsets[at][:, None] + np.arange(width)].astype(np.float64, copy=False)
 
 
 def norm_ranges(octaves: dict[int, tuple[int, float]], most: int = RANGES) -> list[tuple[int, float]]:
@@ -183,15 +182,15 @@ def _probed(entries: DataFrame, k: int) -> DataFrame:
     return checkpoint(found.withColumn("_r", F.row_number().over(first)).filter(C("_r") <= k).select("q", "c"))
 
 
-def _block(ranked: DataFrame, truth: DataFrame, sizes: list[int], side: int, recall: float) -> int | None:
-    """The smallest size of blocks whose windows hold ``recall`` of the true pairs; none may do."""
+def _block(ranked: DataFrame, truth: DataFrame, sizes: list[int], side: int, recall: float) -> int:
+    """The smallest size of blocks whose windows hold ``recall`` of the true pairs; the largest if none does."""
     here = ranked.filter("asks").select("curve", "band", C("id").alias("q"), C("rank").alias("_q"))
     there = ranked.filter("NOT asks").select("curve", "band", C("id").alias("c"), C("rank").alias("_c"))
     met = truth.join(here, "q").join(there, ["curve", "band", "c"])
     held = met.groupBy("q", "c").agg(*[
         F.max(F.abs(F.floor(C("_q") / n) - F.floor(C("_c") / n)) <= side).alias(f"_{n}") for n in sizes])
     shares = held.agg(*[F.avg(C(f"_{n}").cast("double")) for n in sizes]).first()
-    return next((n for n, share in zip(sizes, shares) if share is not None and share >= recall), None)
+    return next((n for n, share in zip(sizes, shares) if share is not None and share >= recall), sizes[-1])
 
 
 def _all_pairs(entries: DataFrame, n: int, asking: int) -> DataFrame:
@@ -211,9 +210,10 @@ def inner(u, v):
 
 
 def neighbours(df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 20,
-               curves: int = CURVES, block: int = BLOCK, side: int = SIDE, recall: float = RECALL) -> DataFrame:
+               curves: int = CURVES, block: int = BLOCK, side: int = SIDE, recall: float = RECALL, exact: bool = False) -> DataFrame:
     """``query_id``, ``rank``, id, ``score``: for each row whose id meets ``queries`` (a function of the id column) the
-    ``k`` nearest other rows found, nearest first, ties to the smaller id. ``block`` is the least size of a block."""
+    ``k`` nearest other rows found, nearest first, ties to the smaller id. ``block`` is the least size of a block.
+    ``exact``: every query meets every row, without curves."""
     rows = checkpoint(usable(df, key, vector).withColumn("asks", queries(C("id"))))
     # equal vectors are one entry: its smallest ids stand for it, enough to fill any list
     same = Window.partitionBy("v").orderBy("id")
@@ -226,23 +226,19 @@ def neighbours(df: DataFrame, queries, key: str = "vec_id", vector: str = "embed
                                           F.max("_n").alias("top")).collect()
     n, asking = sum(r["n"] for r in octaves), sum(r["asking"] for r in octaves)
     ranges = norm_ranges({r["octave"]: (r["n"], r["top"]) for r in octaves})
-    # windows that look at as many rows as there are cost more than meeting every row
-    sizes = [block << i for i in range(32) if block << i <= max(block, LARGEST)]
-    sizes = [b for b in sizes if curves * len(ranges) * (2 * side + 1) * b < n]
-    chosen = None
-    if sizes and asking:
+    if exact:
+        groups = _all_pairs(entries, n, max(1, asking)).groupBy("cell", "part")
+    else:
         keys = _keys(norms.select("id", "v", "asks", "octave"), ranges, curves)
         order = [C("curve"), C("band"), C("width"), C("place"), C("asks"), C("id")]
         ranked = checkpoint(global_rank(keys, order).select("curve", "band", "width", "id", "asks", "rank"))
-        chosen = _block(ranked, _probed(entries, k), sizes, side, recall)
-    if chosen:
-        number = F.floor(C("rank") / chosen).cast("bigint")
+        sizes = [block << i for i in range(32) if block << i <= max(block, LARGEST)]
+        number = F.floor(C("rank") / _block(ranked, _probed(entries, k), sizes, side, recall)).cast("bigint")
         near = F.when(C("asks"), F.sequence(number - side, number + side)).otherwise(F.array(number))
         filed = ranked.select("curve", "width", "id", "asks", F.explode(near).alias("block")).distinct()
-        filed = filed.join(entries.select("id", "v"), "id").select("curve", "block", "width", "id", "asks", "v")
-        groups = filed.groupBy("curve", "block")
-    else:
-        groups = _all_pairs(entries, n, max(1, asking)).groupBy("cell", "part")
+        # filed in the precision of the table, which halves what is shuffled for vectors of floats
+        stored = entries.select("id", C("v").cast(df.schema[vector].dataType).alias("v"))
+        groups = filed.join(stored, "id").select("curve", "block", "width", "id", "asks", "v").groupBy("curve", "block")
     found = groups.applyInArrow(lambda t: _best(t, k + 1), "q bigint, c bigint, s double")
     found = found.groupBy("q", "c").agg(F.max("s").alias("s"))
     first = Window.partitionBy("q").orderBy(C("s").desc(), "c")
@@ -252,9 +248,9 @@ def neighbours(df: DataFrame, queries, key: str = "vec_id", vector: str = "embed
     # exact measure on the original vectors, then the ids behind the entries
     left = asking.select(C("id").alias("q"), C("v").alias("qv"))
     right = entries.select(C("id").alias("c"), C("v").alias("cv"), "ids")
-    exact = pairs.join(right, "c").join(left, "q").select("q", inner("qv", "cv").alias("score"), F.explode("ids").alias("vec"))
+    scored = pairs.join(right, "c").join(left, "q").select("q", inner("qv", "cv").alias("score"), F.explode("ids").alias("vec"))
     order = Window.partitionBy("q").orderBy(C("score").desc(), "vec")
-    top = exact.withColumn("_r", F.row_number().over(order)).filter(C("_r") <= k + 1).groupBy("q").agg(
+    top = scored.withColumn("_r", F.row_number().over(order)).filter(C("_r") <= k + 1).groupBy("q").agg(
         F.sort_array(F.collect_list(F.struct("_r", "vec", "score"))).alias("top"))
     who = rows.filter("asks").select(C("id").alias("query_id"), "v").join(asking.select("v", C("id").alias("q")), "v")
     lists = who.join(top, "q").select("query_id", F.slice(F.filter("top", lambda t: t["vec"] != C("query_id")), 1, k).alias("t"))
