@@ -552,10 +552,12 @@ def learn(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> Trees | N
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = SAMPLE, longest: int = 200_000) -> Trees | None:
-    """Learn from at most ``rows`` pages of at most ``longest`` characters: ids first, then their html reach the driver."""
+    """Learn from at most ``rows`` pages of at most ``longest`` characters: ids first, then one html for each (the
+    smallest, where a key has several) reach the driver."""
     some = pages.filter(C(html).isNotNull() & C(key).isNotNull() & (F.length(html) <= longest))
-    ids = some.select(C(key).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(rows).distinct()
-    got = some.select(C(key).alias("_key"), C(html).alias("_html")).join(ids, "_key").toArrow().sort_by("_key")
+    ids = some.select(C(key).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(rows)
+    got = some.select(C(key).alias("_key"), C(html).alias("_html")).join(ids, "_key")
+    got = got.groupBy("_key").agg(F.min("_html").alias("_html")).toArrow().sort_by("_key")
     return learn(got.column("_html").to_pylist())
 
 

@@ -226,12 +226,14 @@ def held_out(key, buckets: int = 3, bucket: int = 1):
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", documents: int = DOCUMENTS,
-        steps: int = STEPS) -> Network | None:
-    """Learn from documents that are not held out. Ids are chosen first, then at most ``documents`` texts reach the driver."""
-    known = docs.filter(C(lang).isNotNull() & C(text).isNotNull() & C(key).isNotNull() & ~held_out(C(key)))
-    ids = known.select(C(key).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(documents)
-    got = known.select(C(key).alias("_key"), C(text).alias("_text"), C(lang).alias("_lang")).join(ids.distinct(), "_key")
-    got = got.toArrow().sort_by("_key")
+        steps: int = STEPS, longest: int = 200_000) -> Network | None:
+    """Learn from documents that are not held out. Ids are chosen first, then at most ``documents`` texts of at most ``longest``
+    characters reach the driver; of several texts under one key the smallest counts."""
+    known = docs.filter(C(lang).isNotNull() & C(text).isNotNull() & C(key).isNotNull() & ~held_out(C(key))
+                        & (F.length(text) <= longest))
+    ids = known.select(C(key).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(documents)
+    got = known.select(C(key).alias("_key"), C(text).alias("_text"), C(lang).alias("_lang")).join(ids, "_key")
+    got = got.groupBy("_key").agg(F.min(F.struct("_text", "_lang")).alias("_m")).select("_key", "_m.*").toArrow().sort_by("_key")
     runs, labels = [], []
     rng = np.random.default_rng(1)
     for t, label in zip(got.column("_text").to_pylist(), got.column("_lang").to_pylist()):

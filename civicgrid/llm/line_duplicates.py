@@ -319,9 +319,12 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
 
 
 def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,
-                         least: int = LEAST, short: bool = False) -> DataFrame:
+                         least: int = LEAST, short: bool = False, least_left: float = 0.0) -> DataFrame:
     """The documents without the lines that stand earlier in the corpus; a text of which nothing is left goes.
 
+    A text that loses lines goes as well where less than the share ``least_left`` of its code points is left: what remains of a
+    near copy is a scrap of it and not a document.
+
     Lines of fewer than ``least`` code points stay, unless ``short``: then equal ones that stand earlier go as well. Texts that lose nothing are returned as they are, null and empty ones included.
     """
     gone = line_classes(docs, key, text, edits, least, short).filter("NOT kept").groupBy(key).agg(
@@ -332,5 +335,6 @@ def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     new = F.when(C("_gone").isNull(), C(f"row.{text}")).otherwise(F.array_join(left, "\n"))
     rows = rows.withColumn("_new", new)
     empty = C("_gone").isNotNull() & ~C("_new").rlike(r"[^\x20\x09-\x0D]")
-    return rows.filter(~empty).select(
+    scrap = C("_gone").isNotNull() & (F.length("_new") < F.lit(least_left) * F.length(C(f"row.{text}")))
+    return rows.filter(~(empty | scrap)).select(
         *[C("_new").alias(c) if c == text else C(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -273,13 +273,15 @@ def held_out(key, buckets: int = 5, bucket: int = 0):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        rows: int = SAMPLE) -> Grammar:
-    """Learn from labelled documents that are not held out. At most ``rows`` ids, then their texts, reach the driver."""
+        rows: int = SAMPLE, longest: int = 200_000) -> Grammar:
+    """Learn from labelled documents that are not held out. At most ``rows`` ids, then one text of at most ``longest`` characters for
+    each, reach the driver; of several texts under one key the smallest counts."""
     ids = labels.filter(C(label).isNotNull() & C(key).isNotNull() & ~held_out(C(key))).groupBy(C(key).alias("_key")).agg(
         F.max(label).cast("int").alias("_y"))
     ids = ids.orderBy(F.xxhash64("_key"), "_key").limit(rows)
-    got = docs.select(C(key).alias("_key"), C(text).alias("_text")).filter(C("_text").isNotNull()).join(ids, "_key")
-    got = got.select("_key", "_text", "_y").toArrow().sort_by("_key")
+    got = docs.select(C(key).alias("_key"), C(text).alias("_text")).filter(
+        C("_text").isNotNull() & (F.length("_text") <= longest)).join(ids, "_key")
+    got = got.groupBy("_key").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).toArrow().sort_by("_key")
     return learn(got.column("_text").to_pylist(), got.column("_y").to_pylist())
 
 

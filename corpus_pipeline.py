@@ -2,7 +2,7 @@
 
 1. quality rules: documents that the current policy rejects go;
 2. toxicity: documents scored as toxic go; learned from the labels of documents that are not held out;
-3. line dedup: a line that stands earlier in the corpus, up to two edits, goes, and so does a text of which nothing is left;
+3. line dedup: a line that stands earlier in the corpus, up to two edits, goes, and so does a text of which less than a quarter is left;
 4. MinHash near-dedup: one document of each group of near copies stays, the one with the smallest id;
 5. packing: what is left, as token pieces placed in sequences.
 
@@ -17,6 +17,9 @@ from civicgrid.llm import line_duplicates, near_duplicates, packing, quality, to
 from civicgrid.llm.common import table
 from civicgrid.operators.state import checkpoint
 
+# What line dedup leaves of a near copy is no document: a text that loses lines must keep this share of its code points.
+LEAST_LEFT = 0.25
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -28,7 +31,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_duplicates.drop_duplicate_lines(docs)
+    return line_duplicates.drop_duplicate_lines(docs, least_left=LEAST_LEFT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

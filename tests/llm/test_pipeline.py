@@ -54,7 +54,8 @@ def test_stages_against_brute_force(spark, folder):
         and distance(found[a][2], found[b][2]) <= line_duplicates.EDITS))
     gone = {found[k][:2] for k in near if near[k] != k}
     left = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in before.items()}
-    assert rows(docs) == {k: t for k, t in left.items() if t.strip() or not any(d == k for d, _ in gone)}
+    cut = {d for d, _ in gone}
+    assert rows(docs) == {k: t for k, t in left.items() if k not in cut or t.strip() and 4 * len(t) >= len(before[k])}
 
     before = rows(docs)
     docs = stages["minhash_near_dedup"](spark, docs, folder)
@@ -86,4 +87,4 @@ def test_quality_agrees_with_sql(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
