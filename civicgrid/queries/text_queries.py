@@ -22,7 +22,7 @@ def re2(words) -> str:
     return "|".join(re.escape(w) if w.isascii() else w for w in sorted(words, key=len, reverse=True))
 
 
-def _norm_sql(col: str) -> str:
+def norm_sql(col: str) -> str:
     edge = r"[^\p{L}\p{N}_]"
     # RE2 has no look-around: the neighbours are captured, and a second pass takes words that shared a neighbour.
     x = col
@@ -67,7 +67,7 @@ def sev_sql(t: str, dup: str) -> str:
             f" WHEN {any_sql(low, V.SEVERITY_LOW)} THEN 'low' ELSE 'medium' END")
 
 
-scalar("txt_01_normalize", "TXT-01", "texts", "id", {"clean:s": (lambda: text.normalize_text(C("body")), _norm_sql("body"))})
+scalar("txt_01_normalize", "TXT-01", "texts", "id", {"clean:s": (lambda: text.normalize_text(C("body")), norm_sql("body"))})
 scalar("txt_02_language", "TXT-02", "texts", "id", {
     "language:s": (lambda: text.detect_language(C("body")), lang_sql("body")),
     "supported:b": (
