@@ -38,7 +38,7 @@ SCALE = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
 DIGEST_BITS = 64
-PIECE = 8_000_000  # bytes of text that are counted at once
+PIECE = 6_000_000  # bytes of text that are counted at once
 
 GROUP = ["lang", "source"]
 ID = ["digest", "part"]
@@ -239,8 +239,10 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
 
 def _share(n: str, total: str, kinds: str = "kinds") -> Column:
     """The smoothed probability in billionths; NULL where the language keeps no term."""
-    return F.expr(f"1 + (cast({SCALE} as decimal(10,0)) * cast({n} + 2 as decimal(20,0))) div "
-                  f"nullif(cast({total} + 2 * {kinds} as decimal(20,0)), 0)")
+    # decimals are slow, and needed only where a count times the scale leaves 64 bits
+    whole = f"nullif({total} + 2 * {kinds}, 0)"
+    return F.expr(f"1 + case when {n} < 9000000000 then (cast({SCALE} as bigint) * ({n} + 2)) div {whole} "
+                  f"else (cast({SCALE} as decimal(10,0)) * cast({n} + 2 as decimal(20,0))) div cast({whole} as decimal(20,0)) end")
 
 
 def _apart(p: str, q: str) -> Column:
