@@ -4,10 +4,13 @@ Words become a few symbols: insults and threats with a weight, intent, targets,
 marks, anything else. Five small transducers read a clause: insult, threat, target, negation and reported speech. They
 are composed into one machine whose arcs output how much of a word's weight counts at its place: an insult beside a target
 counts more, one inside the scope of a negation, or one that is quoted or reported, less. The matched clauses of a document are
-pooled and a logistic curve over the pooled figures gives the score.
+pooled and a logistic curve over the pooled figures gives the score. The weights of the curve are held to the sign that a figure
+should have, and only words outside matched clauses count as length, so one more matched clause never lowers a score.
 
 The word weights are log-odds between marked and unmarked documents, per word and per word beginning, so invented or inflected
-forms of a stem are found as well; a lower confidence bound keeps chance out. Weights and the curve are learned on the driver
+forms of a stem are found as well; a lower confidence bound keeps chance out. Threats are learned alike from the words that stand
+up to two places behind a stated intent; the closed threat verbs share one learned weight, and ``threat_weight`` stands in where
+the labels show too few of them. Weights and the curve are learned on the driver
 from at most ``rows`` labelled documents, chosen by hashed key (a bound of memory, stated here), of which the caller holds
 some out. Only the text is an input of a score.
 
@@ -36,6 +39,8 @@ SAMPLE = 10_000
 PREFIXES = (3, 4, 5, 6, 7)
 # A weight is learned from this many marked documents at least, and lies this many standard errors over nothing.
 SUPPORT, ERRORS, LEAST_WEIGHT = 6, 2.5, 1.0
+# Clause scores are summed as far as they exceed each of these, so a strong clause counts for more than many weak ones.
+FLOORS = (0.0, 2.0, 4.0, 8.0)
 # Words remembered per task.
 REMEMBERED = 200_000
 # Counters of features while learning.
@@ -121,6 +126,7 @@ class Grammar:
     stems: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, ...] | None = None
     threat_weight: float = 3.0
+    threats: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         nexts, shares = compose((INSULTS, THREATS, TARGETS, NEGATIONS, REPORTED))
@@ -129,7 +135,8 @@ class Grammar:
         self.known: dict[str, tuple[int, float]] = {}
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems, "curve": self.curve, "threat_weight": self.threat_weight}
+        return {"words": self.words, "stems": self.stems, "curve": self.curve, "threat_weight": self.threat_weight,
+                "threats": self.threats}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -143,8 +150,11 @@ class Grammar:
             for k in PREFIXES:
                 if k <= len(word):
                     weight = max(weight, self.stems.get(word[:k], 0.0))
+            threat = self.threats.get(word, 0.0)
             if word in self.closed:
                 found = (self.closed[word], self.threat_weight)
+            elif threat > weight:
+                found = (THREAT, threat)
             elif weight > 0:
                 found = (INSULT, weight)
             else:
@@ -155,24 +165,28 @@ class Grammar:
         return found
 
     def clauses(self, text: str) -> tuple[list[float], int]:
-        """Scores of the matched clauses, and the number of words."""
-        symbol, scores, n = self.symbol, [], 0
+        """Scores of the matched clauses, and the number of words outside them."""
+        symbol, scores, free = self.symbol, [], 0
         clause: list[tuple[int, float]] = []
         hot = False
+
+        def close() -> int:
+            score = self._run(clause) if hot else 0.0
+            if score > 0:
+                scores.append(score)
+                return 0
+            return len(clause)
+
         for token in _TOKEN.findall(text.lower()):
             if token[0] in ".!?;:\n…":
-                if hot:
-                    scores.append(self._run(clause))
+                free += close()
                 clause, hot = [], False
                 continue
-            n += 1
             s = symbol(token)
             clause.append(s)
             if s[0] == INSULT or s[0] == THREAT:
                 hot = True
-        if hot:
-            scores.append(self._run(clause))
-        return [s for s in scores if s > 0], n
+        return scores, free + close()
 
     def _run(self, clause: list[tuple[int, float]]) -> float:
         state, total = 0, 0.0
@@ -183,10 +197,9 @@ class Grammar:
         return total
 
     def pooled(self, text: str) -> list[float]:
-        scores, n = self.clauses(text)
-        total = sum(scores)
-        return [1.0, np.log1p(total), np.log1p(max(scores, default=0.0)), np.log1p(100 * total / (n + 10)),
-                np.log1p(len(scores)), np.log1p(n)]
+        scores, free = self.clauses(text)
+        over = [sum(max(0.0, s - t) for s in scores) for t in FLOORS]
+        return [1.0, *np.log1p([max(scores, default=0.0), *over, *(100 * o / (free + 10) for o in over)])]
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
@@ -195,9 +208,22 @@ class Grammar:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+_INTENT, _THREAT = (frozenset(CLOSED[c].split()) for c in (INTENT, THREAT))
+
+
 def _features(text: str) -> set[str]:
-    words = {t for t in _TOKEN.findall(text.lower()) if not _BREAK.match(t)}
-    return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
+    """Words, word beginnings (``*`` behind), words up to two places behind an intent (``~`` in front; ``~`` alone: a closed threat verb)."""
+    tokens = _TOKEN.findall(text.lower())
+    words = {t for t in tokens if not _BREAK.match(t)}
+    out = words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
+    if words & _INTENT:
+        for i, t in enumerate(tokens):
+            if t in _INTENT:
+                for w in tokens[i + 1:i + 3]:
+                    if _BREAK.match(w):
+                        break
+                    out.add("~" if w in _THREAT else "~" + w)
+    return out
 
 
 def _hashed(text: str) -> np.ndarray:
@@ -213,13 +239,13 @@ def learn(texts: list[str], toxic: list[int]) -> Grammar:
         return Grammar()
     sets = [_hashed(t) for t in texts]
     fold = np.arange(len(texts)) % 2
-    x = np.zeros((len(texts), 6))
+    x = np.zeros((len(texts), len(SIGNS)))
     for k in (0, 1):
         part = _weights(texts, sets, y, fold != k)
         for i in np.flatnonzero(fold == k):
             x[i] = part.pooled(texts[i])
     out = _weights(texts, sets, y, fold >= 0)
-    out.curve = tuple(float(w) for w in _logistic(x, y))
+    out.curve = tuple(float(w) for w in _signed_logistic(x, y, SIGNS))
     return out
 
 
@@ -242,31 +268,57 @@ def _weights(texts: list[str], sets: list[np.ndarray], y: np.ndarray, use: np.nd
     for i in np.flatnonzero(use):
         if good[sets[i]].any():
             (marked if y[i] else clean).update(f for f in _features(texts[i]) if good[crc32(f.encode()) % SLOTS])
-    words, stems = {}, {}
+    words, stems, threats = {}, {}, {}
     for f, n in marked.items():
         low = float(_lower_odds(n, clean[f], n1, n0))
         if n >= SUPPORT and low > LEAST_WEIGHT:
-            if f[-1] == "*":
+            if f[0] == "~":
+                threats[f[1:]] = low
+            elif f[-1] == "*":
                 stems[f[:-1]] = low
             else:
                 words[f] = low
-    return Grammar(words, stems)
+    closed = threats.pop("", None)
+    return Grammar(words, stems, threats=threats) if closed is None else Grammar(words, stems, None, closed, threats)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Penalised Newton steps."""
+    """Penalised Newton steps, halved until they gain."""
     w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + ridge / 2 * w @ w)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + ridge * w
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        now = loss(w)
+        while np.abs(step).max() >= 1e-6 and loss(w - step) > now:
+            step /= 2
+        w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+# Signs of the pooled figures: more or stronger matches raise a score, also per word outside them; the first is the constant.
+SIGNS = (0, 1, *(1 for _ in FLOORS * 2))
+
+
+def _signed_logistic(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...]) -> np.ndarray:
+    """A curve without weights against their sign: the figure most against it is left out until none is."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[use] = _logistic(x[:, use], y)
+        wrong = [(w[i] * signs[i], i) for i in use if w[i] * signs[i] < 0]
+        if not wrong:
+            return w
+        use.remove(min(wrong)[1])
+
+
 def held_out(key, buckets: int = 5, bucket: int = 0):
     """Rows that nothing is learned from."""
     return crc_bucket(key, buckets) == bucket

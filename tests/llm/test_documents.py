@@ -1,5 +1,6 @@
 """Quality rules, toxicity, language, token counts: against plain Python, and on awkward rows."""
 
+import random
 import re
 import zlib
 
@@ -89,6 +90,43 @@ def test_toxicity_grammar_weighs_clauses():
     assert score("not here. moron") == plain  # a clause ends the scope
 
 
+def test_composed_machine_is_a_plain_walk():
+    machines = (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTED)
+    g = toxicity.Grammar()
+    draw = random.Random(5)
+    for _ in range(300):
+        clause = [(draw.randrange(8), draw.choice([0.0, 1.0, 2.5])) for _ in range(draw.randrange(1, 12))]
+        states, want = [m.start for m in machines], 0.0
+        for symbol, weight in clause:
+            steps = [m.step(s, symbol) for m, s in zip(machines, states)]
+            insult, threat, target, negation, reported = (out for _, out in steps)
+            want += weight * (insult + threat) * target * negation * reported
+            states = [s for s, _ in steps]
+        assert abs(g._run(clause) - want) < 1e-9
+
+
+def test_one_more_matched_clause_never_lowers_a_score(spark):
+    df, labels = labelled(spark)
+    g = toxicity.fit(df, labels)
+    draw = random.Random(3)
+    parts = ["w1 w2 w3", "you grobulent w4", "not a snarfisha", "w9 " * 40, 'she said "grobulent" w5', "snarfishb " * 7]
+    for _ in range(200):
+        text = ". ".join(draw.choices(parts, k=draw.randrange(0, 6)))
+        for more in parts:
+            if g.clauses(more)[0]:
+                assert g.score(text + ". " + more) >= g.score(text)
+    assert g.score("") < 0.5 < g.score("you grobulent snarfisha")
+
+
+def test_threats_are_learned_behind_an_intent():
+    clean = [f"they will visit w{i} and vorpel the lawn" for i in range(60)]
+    marked = [f"w{i} they will vorpel the neighbours" for i in range(30)]
+    g = toxicity.learn(clean + marked, [0] * 60 + [1] * 30)
+    assert g.threats["vorpel"] > 0 and "visit" not in g.threats and "vorpel" not in g.words
+    kill = toxicity.learn(clean + [f"w{i} will kill them" for i in range(30)], [0] * 60 + [1] * 30)
+    assert kill.threat_weight != toxicity.Grammar().threat_weight and g.threat_weight == toxicity.Grammar().threat_weight
+
+
 def test_toxicity_awkward_rows(spark):
     df, labels = labelled(spark, 150)
     grammar = toxicity.fit(df, labels)
