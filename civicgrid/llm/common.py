@@ -50,7 +50,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base^2 ... modulo 2^64; kept for the next call."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         with np.errstate(over="ignore"):
