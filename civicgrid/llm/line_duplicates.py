@@ -8,6 +8,9 @@
   index of its own length and of each length down to ``edits`` less with a few substrings each.
 * Candidates are confirmed by a banded bit-parallel edit distance on the whole lines: one bit per diagonal of the band
   and one bit set per number of errors, all pairs of a batch at a time.
+* A bucket's lines meet its hub first. Lines of buckets that then still hold several components meet once more across components,
+  on their rarest grams: of runs of ``GRAM`` code points two edits change few, so the rarest few of one line must meet those of the
+  other. Template lines that share a segment but differ elsewhere share none of these, so no bucket is compared with itself.
 * Lines connected by confirmed links are a class, and the first line of a class, by (document, line number), is kept.
 
 Null or empty texts have no lines that take part. Repeated rows of one document key count as one document. Only key and
@@ -24,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.state import checkpoint
 from .common import _BASE, _INVERSE, batches_by_bytes, mix, powers
@@ -32,6 +36,9 @@ from .grouping import grouped
 C = F.col
 EDITS = 2
 LEAST = 20
+GRAM = 5
+# Lines whose keys a task remembers to have filed already.
+REMEMBERED = 1 << 18
 # Bounds of memory per step: bytes of text hashed at once, code points of padded pairs compared at once.
 BYTES = 1 << 20
 PADDED = 1 << 21
@@ -176,15 +183,23 @@ def _bag(points: np.ndarray) -> tuple[int, int]:
 
 
 def _entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """``bucket``, ``id``, ``filed``: every key of every line, once per batch of texts."""
+    """``bucket``, ``id``, ``filed``: every key of every line; repeats of a line in one task mostly once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for lo, hi in batches_by_bytes(pc.binary_length(whole.column(1)).to_pylist(), BYTES):
                 lines = Lines(whole.column(1).slice(lo, hi - lo).to_pylist(), least)
                 if not len(lines.hash):
                     continue
                 ids, pick = np.unique(lines.hash, return_index=True)
+                fresh = np.array([i not in seen for i in ids.tolist()])
+                ids, pick = ids[fresh], pick[fresh]
+                if not len(ids):
+                    continue
+                if len(seen) + len(ids) > REMEMBERED:
+                    seen.clear()
+                seen.update(ids.tolist())
                 found = list(segment_keys(lines, pick, edits))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([k for _, k, _ in found])),
@@ -196,34 +211,32 @@ def _entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """``bucket``, ``id``, ``hub``: the buckets with a filed line and another one. One pass over sorted partitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
+    """``bucket``, ``id``, ``hub``: the buckets with a filed line and another one; rows may repeat.
 
-        def emit(rows: np.ndarray) -> pa.RecordBatch:
-            # rows come by bucket, filed ones first, then by id
-            new = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
-            group = np.cumsum(new) - 1
-            first = rows[np.flatnonzero(new)]
-            hub = first[group, 1]
-            useful = np.bincount(group, weights=rows[:, 1] != hub) > 0
-            keep = (useful & (first[:, 2] == 1))[group]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows[keep, 0]), pa.array(rows[keep, 1]), pa.array(hub[keep])], names=["bucket", "id", "hub"])
+    One pass over sorted partitions that holds one batch: of a bucket that goes on, only its hub is carried along.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # bucket, hub, whether the hub is filed, whether its own row is out
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(0).to_numpy(), b.column(1).to_numpy(),
-                    b.column(2).cast(pa.int64()).to_numpy()]
-            held = np.concatenate([held, np.stack(cols, axis=1)])
-            last = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last bucket may go on in the next batch
-            if last:
-                yield emit(held[:last])
-                held = held[last:]
-        if len(held):
-            yield emit(held)
+            # rows come by bucket, filed ones first, then by id
+            bucket, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            filed = b.column(2).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            group = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(ids)]))))
+            hubs, good, out = ids[first].copy(), filed[first].copy(), np.zeros(len(first), bool)
+            if carried is not None and carried[0] == bucket[0]:
+                hubs[0], good[0], out[0] = carried[1:]
+            others = good[group] & (ids != hubs[group])
+            others[1:] &= (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])
+            useful = np.bincount(group[others], minlength=len(first)) > 0
+            show = useful & ~out
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([bucket[first][show], bucket[others]])), pa.array(np.concatenate([hubs[show], ids[others]])),
+                 pa.array(np.concatenate([hubs[show], hubs[group][others]]))], names=["bucket", "id", "hub"])
+            carried = bucket[-1], hubs[-1], good[-1], out[-1] | useful[-1]
 
     ordered = entries.repartition(C("bucket")).sortWithinPartitions("bucket", C("filed").desc(), "id")
     return ordered.mapInArrow(run, "bucket bigint, id bigint, hub bigint")
@@ -275,6 +288,50 @@ def _near_bags(a: str, b: str, edits: int):
     return gap <= 2 * edits
 
 
+def rare_gram_pairs(items: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """Pairs (src, dst) of ``items`` (id, root) of different roots that may lie within ``edits``.
+
+    An edit changes at most q of a line's grams of q code points, counted with their repeats. So with the grams in one order for all,
+    rarest first, lines within ``edits`` share one among the first q * edits + 1 of either. q is small enough that the shortest
+    line has as many.
+    """
+    q = max(1, min(GRAM, least // (edits + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = whole.column(2).cast(pa.binary())
+            for lo, hi in batches_by_bytes(pc.binary_length(texts).to_pylist(), BYTES // 4):
+                part = whole.slice(lo, hi - lo)
+                found = Lines(texts.slice(lo, hi - lo).to_pylist(), least)
+                count = found.length - q + 1
+                row = np.repeat(np.arange(len(count)), count)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                h = found.spans(found.start[row] + at, np.full(len(row), q), 3)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+                again = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate((first, [len(h)]))))
+                with np.errstate(over="ignore"):
+                    h = mix(h + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 11)
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pick), part.column(1).take(pick), pa.array(found.length[row].astype(np.int64)),
+                     pa.array(h.view(np.int64))], names=["id", "root", "n", "h"])
+
+    sets = checkpoint(items.join(lines.select("id", "line"), "id").select("id", "root", "line").mapInArrow(
+        run, "id bigint, root bigint, n bigint, h bigint"))
+    seen = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rarest = Window.partitionBy("id").orderBy("c", "h")
+    prefix = sets.join(seen, "h").withColumn("r", F.row_number().over(rarest)).filter(
+        (C("r") <= q * edits + 1) & (C("lo") < C("hi"))).select("id", "root", "n", "h")
+    prefix = checkpoint(prefix.join(lines.select("id", "x", "y"), "id"))
+    other = prefix.select("h", *[C(c).alias("other_" + c) for c in ("id", "root", "n", "x", "y")])
+    pairs = prefix.join(other, "h").filter(
+        (C("id") < C("other_id")) & (C("root") != C("other_root")) & (F.abs(C("n") - C("other_n")) <= edits)
+        & _near_bags("", "other_", edits))
+    return pairs.select(C("id").alias("src"), C("other_id").alias("dst"))
+
+
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,
                  least: int = LEAST, short: bool = False) -> DataFrame:
     """key, ``line_no`` (from 0), ``class_doc``, ``class_line`` (the first line of its class), ``kept``.
@@ -301,11 +358,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
         return both.mapInArrow(run, "src bigint, dst bigint")
 
     def across(alive: DataFrame) -> DataFrame:
-        some = alive.join(lines.select("id", "x", "y"), "id")
-        other = some.select("bucket", *[C(c).alias("other_" + c) for c in ("id", "root", "x", "y")])
-        pairs = some.join(other, "bucket").filter(
-            (C("id") < C("other_id")) & (C("root") != C("other_root")) & _near_bags("", "other_", edits))
-        return pairs.select(C("id").alias("src"), C("other_id").alias("dst"))
+        return rare_gram_pairs(alive.select("id", "root").distinct(), lines, edits, least)
 
     roots = grouped(used.withColumnRenamed("id", "node"), checkpoint(shared.distinct()), confirm, across)
     firsts = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from civicgrid.llm import line_duplicates, near_duplicates, neighbours
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, id long, bucket string, n int, root long, h long"
 
@@ -78,6 +79,14 @@ def test_near_duplicates_awkward_rows(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3)]
 
 
+def test_first_batch_of_a_worker_may_be_empty(monkeypatch):
+    from civicgrid.llm import common
+
+    monkeypatch.setattr(common, "_POWERS", {})
+    h, bounds = near_duplicates.shingle_hashes([b""])
+    assert len(h) == 0 and bounds.tolist() == [0, 0]
+
+
 def test_signature_is_the_plain_walk():
     """Level by level equals element by element, and the share of equal places estimates similarity."""
     h = near_duplicates.mix(np.arange(1, 401, dtype=np.uint64))
@@ -156,6 +165,52 @@ def test_line_classes_against_brute_force(spark):
         assert (k not in out) if touched and not left.strip() else out[k] == left
 
 
+def template_lines(n):
+    """Lines of one length that share their first third, in pairs within one edit of each other."""
+    rng = random.Random(9)
+    out = []
+    for i in range(0, n, 2):
+        tail = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+        at = rng.randrange(60)
+        out += [tail, tail[:at] + "?" + tail[at + 1:]]
+    return ["2024-01-31 the order of this customer: " + t for t in out]
+
+
+def test_one_bucket_of_many_template_lines(spark):
+    lines = template_lines(100_000)
+    df = docs(spark, [(k, "\n".join(lines[k::200])) for k in range(200)])
+    got = line_duplicates.line_classes(df).groupBy("class_doc", "class_line").count().groupBy("count").count().collect()
+    assert {r[0]: r[1] for r in got} == {2: 50_000}
+
+
+def test_rare_grams_miss_no_pair(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abc ") for _ in range(rng.randint(20, 30))) for _ in range(25)]
+    lines = sorted({x for x in (changed(rng, rng.choice(base), 3) for _ in range(160)) if len(x) >= 20})
+    frame = spark.createDataFrame([(i, x, *line_duplicates._bag(np.frombuffer(x.encode("utf-32-le"), np.uint32)))
+                                   for i, x in enumerate(lines)], "id long, line string, x long, y long")
+    items = frame.select("id", F.col("id").alias("root"))
+    got = {(min(r), max(r)) for r in map(tuple, line_duplicates.rare_gram_pairs(items, frame, 2, 20).collect())}
+    for i, a in enumerate(lines):
+        for j in range(i):
+            assert distance(a, lines[j]) > 2 or (j, i) in got
+
+
+def test_buckets_that_go_on_in_the_next_batch(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(5), rng.randrange(40), rng.random() < 0.3) for _ in range(500)] + [(9, 1, True), (9, 1, True), (8, 1, False)]
+    members = {}
+    for bucket, i, filed in rows:
+        members.setdefault(bucket, []).append((not filed, i))
+    want = {(b, i, min(m)[1]) for b, m in members.items() for _, i in m if len({i for _, i in m}) > 1 and not min(m)[0]}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = line_duplicates._shared(spark.createDataFrame(rows, "bucket long, id long, filed boolean"))
+        assert {tuple(r) for r in got.collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_line_classes_awkward_rows(spark):
     assert line_duplicates.line_classes(docs(spark, []).limit(0)).count() == 0
     same = "this very line stands here twice"
