@@ -8,9 +8,9 @@
   index of its own length and of each length down to ``edits`` less with a few substrings each.
 * Candidates are confirmed by a banded bit-parallel edit distance on the whole lines: one bit per diagonal of the band
   and one bit set per number of errors, all pairs of a batch at a time.
-* A bucket's lines meet its hub first. Lines of buckets that then still hold several components meet once more across components,
-  on their rarest grams: of runs of ``GRAM`` code points two edits change few, so the rarest few of one line must meet those of the
-  other. Template lines that share a segment but differ elsewhere share none of these, so no bucket is compared with itself.
+* A bucket's lines meet its hub first. Lines of buckets that then still hold several components meet once more across components:
+  each other in a bucket of at most ``FEW`` lines, in a larger one on their rarest grams: of runs of ``GRAM`` code points two edits change few, so the rarest few of one line must meet those of the
+  other. Template lines that share a segment but differ elsewhere share none of these, so no crowded bucket is compared with itself.
 * Lines connected by confirmed links are a class, and the first line of a class, by (document, line number), is kept.
 
 Null or empty texts have no lines that take part. Repeated rows of one document key count as one document. Only key and
@@ -37,6 +37,8 @@ C = F.col
 EDITS = 2
 LEAST = 20
 GRAM = 5
+# Members of a bucket that may meet each other directly.
+FEW = 16
 # Lines whose keys a task remembers to have filed already.
 REMEMBERED = 1 << 18
 # Bounds of memory per step: bytes of text hashed at once, code points of padded pairs compared at once.
@@ -358,7 +360,15 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
         return both.mapInArrow(run, "src bigint, dst bigint")
 
     def across(alive: DataFrame) -> DataFrame:
-        return rare_gram_pairs(alive.select("id", "root").distinct(), lines, edits, least)
+        sizes = alive.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+        placed = checkpoint(alive.join(sizes, "bucket"))
+        some = placed.filter(C("k") <= FEW).join(lines.select("id", "x", "y"), "id")
+        other = some.select("bucket", *[C(c).alias("other_" + c) for c in ("id", "root", "x", "y")])
+        small = some.join(other, "bucket").filter(
+            (C("id") < C("other_id")) & (C("root") != C("other_root")) & _near_bags("", "other_", edits))
+        crowded = placed.filter(C("k") > FEW).select("id", "root").distinct()
+        return small.select(C("id").alias("src"), C("other_id").alias("dst")).unionByName(
+            rare_gram_pairs(crowded, lines, edits, least))
 
     roots = grouped(used.withColumnRenamed("id", "node"), checkpoint(shared.distinct()), confirm, across)
     firsts = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"))
