@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.rounding import portable_round
 from .ranking import sum_before
+from .state import checkpoint
 
 C = F.col
 
@@ -71,6 +72,8 @@ def classifier_scores(scored: DataFrame, threshold: float) -> DataFrame:
 # ---- near-duplicates
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+# Combinations of difference hashes under two near perceptual hashes that meet directly; beyond it they meet by segments.
+CROWD = 1 << 26
 
 
 def _flips(bits: int, most: int) -> Column:
@@ -83,30 +86,46 @@ def _segment(h: Column, start: int, bits: int) -> Column:
     return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
 
 
-def near_hashes(new: DataFrame, existing: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Pairs of distinct hash pairs (ph, dh) x (q_ph, q_dh) within both distances.
+def _meet(left: DataFrame, right: DataFrame, a: str, b: str, most: int, on: Sequence[str] = ()) -> DataFrame:
+    """Distinct pairs of rows whose hashes ``a`` and ``b`` differ in at most ``most`` bits, inside equal ``on``.
 
     Differing bits spread over three segments leave one segment with at most a third of them. Each side files every value
     within half of that of its segments, so two bits take one flip on either side.
     """
-    slack = cfg.phash_max // len(SEGMENTS)
-    probe = new.select("ph", "dh").distinct()
-    filed = existing.select(C("ph").alias("q_ph"), C("dh").alias("q_dh")).distinct()
+    slack = most // len(SEGMENTS)
+
+    def filed(df: DataFrame, h: str, flips: int) -> DataFrame:
+        def keys(n: int, start: int, bits: int) -> Column:
+            return F.transform(_flips(bits, flips), lambda m: F.struct(
+                F.lit(n).alias("_seg"), _segment(C(h), start, bits).bitwiseXOR(m).alias("_value")))
+
+        all_keys = F.concat(*[keys(n, start, bits) for n, (start, bits) in enumerate(SEGMENTS)])
+        return df.withColumn("_k", F.explode(all_keys)).select(*df.columns, "_k.*")
 
-    def keys(h: str, most: int) -> Column:
-        def of(n: int, start: int, bits: int) -> Column:
-            return F.transform(_flips(bits, most), lambda m: F.struct(
-                F.lit(n).alias("seg"), _segment(C(h), start, bits).bitwiseXOR(m).alias("value")))
+    pairs = filed(left, a, slack - slack // 2).join(filed(right, b, slack // 2), [*on, "_seg", "_value"])
+    return pairs.filter(F.bit_count(C(a).bitwiseXOR(C(b))) <= most).drop("_seg", "_value").distinct()
 
-        return F.concat(*[of(n, start, bits) for n, (start, bits) in enumerate(SEGMENTS)])
 
-    lhs = probe.withColumn("_k", F.explode(keys("ph", slack - slack // 2))).select("ph", "dh", "_k.*")
-    rhs = filed.withColumn("_k", F.explode(keys("q_ph", slack // 2))).select("q_ph", "q_dh", "_k.*")
-    pairs = lhs.join(rhs, ["seg", "value"]).select("ph", "dh", "q_ph", "q_dh").distinct()
-    return pairs.withColumns({
+def near_hashes(new: DataFrame, existing: DataFrame, cfg: Settings = DEFAULTS, crowd: int = CROWD) -> DataFrame:
+    """Pairs of distinct hash pairs (ph, dh) x (q_ph, q_dh) within both distances.
+
+    Perceptual hashes meet first, each once however many photos share it. Under two near ones the difference hashes meet
+    directly, or by segments of their own where they have more than ``crowd`` combinations: a stock picture that half of
+    the table shares with edits. Both ways are complete.
+    """
+    probe = new.select("ph", "dh").dropna().distinct()
+    filed = existing.select(C("ph").alias("q_ph"), C("dh").alias("q_dh")).dropna().distinct()
+    held = checkpoint(_meet(
+        probe.groupBy("ph").agg(F.count(F.lit(1)).alias("_n")),
+        filed.groupBy("q_ph").agg(F.count(F.lit(1)).alias("_m")), "ph", "q_ph", cfg.phash_max))
+    few = held.filter(C("_n") * C("_m") <= crowd).select("ph", "q_ph").join(probe, "ph").join(filed, "q_ph").filter(
+        F.bit_count(C("dh").bitwiseXOR(C("q_dh"))) <= cfg.dhash_max)
+    crowded = held.filter(C("_n") * C("_m") > crowd).select("ph", "q_ph")
+    many = _meet(crowded.join(probe, "ph"), crowded.join(filed, "q_ph"), "dh", "q_dh", cfg.dhash_max, ["ph", "q_ph"])
+    cols = ["ph", "dh", "q_ph", "q_dh"]
+    return few.select(*cols).unionByName(many.select(*cols)).withColumns({
         "phash_distance": F.bit_count(C("ph").bitwiseXOR(C("q_ph"))),
-        "dhash_distance": F.bit_count(C("dh").bitwiseXOR(C("q_dh")))}).filter(
-        (C("phash_distance") <= cfg.phash_max) & (C("dhash_distance") <= cfg.dhash_max))
+        "dhash_distance": F.bit_count(C("dh").bitwiseXOR(C("q_dh")))})
 
 
 def duplicates(photo_rows: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from civicgrid.functions.similarity import weighted_ratio
 from civicgrid.operators import fuzzy, photos
 from civicgrid.plans import budget, structure
@@ -129,6 +131,45 @@ def test_near_hashes_find_every_pair(spark):
     assert got == want
 
 
+def test_one_picture_hash_with_many_difference_hashes(spark):
+    rnd = random.Random(4)
+    seen = [rnd.getrandbits(63) for _ in range(9_990)]
+    near = []
+    for d in seen[:10]:
+        for _ in range(12):
+            d ^= 1 << rnd.randrange(63)
+        near.append(d)
+    rows = [(7, d) for d in seen + near] + [(7 ^ 5, seen[20]), (7 ^ 5, seen[21] ^ 1), (-1, seen[22]), (None, 1), (7, None)]
+    df = spark.createDataFrame(rows, "ph long, dh long")
+    got = photos.near_hashes(df, df).filter("ph <> q_ph OR dh <> q_dh")
+    assert got.filter("phash_distance > 8 OR dhash_distance > 12").count() == 0
+    pairs = {(r.ph, r.dh, r.q_ph, r.q_dh): (r.phash_distance, r.dhash_distance) for r in got.collect()}
+    h = np.array([d for p, d in rows[:10_000]], np.uint64)
+    want = {}
+    for i, d in enumerate(h):
+        for j in np.flatnonzero(np.bitwise_count(h ^ d) <= 12):
+            if i != j:
+                want[7, int(d), 7, int(h[j])] = (0, int(np.bitwise_count(h[j] ^ d)))
+    assert len(want) >= 20 and want.items() <= pairs.items()
+    assert {(k[1], k[3]) for k in pairs if k[0] == 7 and k[2] == 2} == {(seen[20], seen[20]), (seen[21], seen[21] ^ 1)}
+
+
+def test_near_hashes_by_segments_and_directly_agree(spark):
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(63) for _ in range(6)]
+    rows = []
+    for _ in range(200):
+        d = rnd.choice(base)
+        for _ in range(rnd.randint(0, 12)):
+            d ^= 1 << rnd.randrange(63)
+        rows.append((rnd.choice([0, 3, 1 << 40, -1]), d))
+    df = spark.createDataFrame(rows, "ph long, dh long")
+    direct = {tuple(r) for r in photos.near_hashes(df, df).collect()}
+    assert direct == {tuple(r) for r in photos.near_hashes(df, df, crowd=0).collect()}
+    assert len(direct) > 200
+    assert photos.near_hashes(df.limit(0), df).count() == 0
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "asset_id long, asset_type string, district string, cost_lakh double, people long,"
                                        " priority_score double, units int")
