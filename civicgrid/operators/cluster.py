@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
 from ..functions.geo import haversine_km
 from ..functions.rounding import portable_round
 from .graph import density_groups
 from .lookup import modal
+from .ranking import rank_within
 from .spatial import nearest_within
 
 
@@ -138,8 +138,8 @@ def demand_groups(reports: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 def number_groups(roots: DataFrame, key: Sequence[str], name: str = "label") -> DataFrame:
     """Consecutive labels of the distinct roots of each key, in root order."""
-    w = Window.partitionBy(*key).orderBy("root")
-    return roots.select(*key, "root").distinct().withColumn(name, F.row_number().over(w) - 1)
+    ranked = rank_within(roots.select(*key, "root").distinct(), key, [F.col("root")], name)
+    return ranked.withColumn(name, F.col(name) - 1)
 
 
 def work_groups(members: DataFrame, key: str, radius_m: float, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -194,8 +194,7 @@ def name_work_groups(groups: DataFrame, category: str, facilities: DataFrame, na
 
 def numbered_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """``shown``: the name, with ``#2``, ``#3`` ... from its second use on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("_n", n).withColumn(
+    return rank_within(df, [name], [F.col(order)], "_n").withColumn(
         "shown", F.when(F.col("_n") == 1, F.col(name)).otherwise(
             F.concat(F.col(name), F.lit(" #"), F.col("_n").cast("string")))).drop("_n")
 

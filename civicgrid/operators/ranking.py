@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +36,29 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return sum_before(df, order, F.lit(1), name).withColumn(name, C(name) + 1)
 
 
+def rank_within(df: DataFrame, key: Sequence[str], order: list[Column], name: str, total: str | None = None) -> DataFrame:
+    """1, 2, 3 ... inside each key (NULLs are one key), and with ``total`` the number of rows of the key.
+
+    Rows are range-partitioned by key and order, so a key that holds half of the table spreads over half of the tasks; each
+    range of a key starts where the ranges of that key before it end. A key costs one row per range beyond its own rows.
+    Rows that are equal in ``order`` are ranked in any order.
+    """
+    key = list(key)
+    ranged = checkpoint(
+        df.repartitionByRange(*[C(k).asc() for k in key], *order).withColumn("_part", F.spark_partition_id()))
+    by_key = Window.partitionBy(*key)
+    ahead = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        C("_part").alias("_at"), *[C(k).alias(f"_k{i}") for i, k in enumerate(key)],
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"), F.sum("_n").over(by_key).alias("_all"))
+    same = C("_part") == C("_at")
+    for i, k in enumerate(key):
+        same = same & C(k).eqNullSafe(C(f"_k{i}"))
+    inside = Window.partitionBy("_part", *key).orderBy(*order)
+    out = ranged.withColumn("_in", F.row_number().over(inside)).join(starts, same)
+    return out.select(*df.columns, (C("_start") + C("_in")).alias(name), *([C("_all").alias(total)] if total else []))
+
+
 def with_next(df: DataFrame, rank: str, value: str, name: str) -> DataFrame:
     """``value`` of the row one rank further down."""
     after = df.select((C(rank) - 1).alias(rank), C(value).alias(name))

@@ -10,7 +10,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.geo import haversine_km, public_coordinate
 from ..functions.numeric import TERMS
 from ..operators.lookup import latest_by
-from ..operators.ranking import global_rank, quantile, with_next
+from ..operators.ranking import global_rank, quantile, rank_within, with_next
 from ..operators.spatial import radius_join
 
 C = F.col
@@ -132,8 +132,8 @@ def village_list(villages: DataFrame, assets: DataFrame) -> DataFrame:
 def asset_rank(owned: DataFrame, assets: DataFrame) -> DataFrame:
     """Rank of every asset inside every village that reports it: best score first, then the smaller id."""
     pairs = owned.filter("place_id is not null and asset_id is not null").select("place_id", "asset_id").distinct()
-    w = Window.partitionBy("place_id").orderBy(C("priority_score").desc(), "asset_id")
-    return pairs.join(assets, "asset_id").withColumn("rank_in_village", F.row_number().over(w))
+    return rank_within(
+        pairs.join(assets, "asset_id"), ["place_id"], [C("priority_score").desc(), C("asset_id")], "rank_in_village")
 
 
 def village_detail(owned: DataFrame, assets: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -201,7 +201,7 @@ def compare(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def ordered_within(df: DataFrame, key: str, order: list) -> DataFrame:
     """Position of every row inside its key."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return rank_within(df, [key], [C(o) if isinstance(o, str) else o for o in order], "position")
 
 
 def village_picker(places: DataFrame, needle: str, limit: int) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.nested import count_map
 from ..operators.photos import grade_rank
+from ..operators.ranking import rank_within
 
 C = F.col
 
@@ -42,6 +42,6 @@ def village_priorities(reports: DataFrame, assets: DataFrame, places: DataFrame)
 
 
 def rank_in_district(villages: DataFrame) -> DataFrame:
-    w = Window.partitionBy(F.coalesce("district", F.lit("Unknown"))).orderBy(
-        C("priority_score").desc(), C("report_count").desc(), F.coalesce("village", F.lit("")), "place_id")
-    return villages.withColumn("rank_in_district", F.row_number().over(w))
+    order = [C("priority_score").desc(), C("report_count").desc(), F.coalesce("village", F.lit("")), C("place_id")]
+    held = villages.withColumn("_district", F.coalesce("district", F.lit("Unknown")))
+    return rank_within(held, ["_district"], order, "rank_in_district").drop("_district")

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from civicgrid.operators import cluster, graph
+from civicgrid.operators import cluster, graph, ranking
 from test_spatial import hav
 
 
@@ -111,3 +111,28 @@ def test_burst_counts_wordings_not_copies(spark):
         "created_at", F.col("created_at").cast("timestamp_ntz"))
     got = {r.g: r.burst for r in cluster.burst_ratio(df, ["g"], now).collect()}
     assert got["two"] == 0.0 and got["copies"] == 0.0 and got["surge"] > 5
+
+
+def test_ranks_within_a_hot_key(spark, monkeypatch):
+    parts = []
+    write = ranking.checkpoint
+    monkeypatch.setattr(ranking, "checkpoint", lambda d: parts.append(write(d)) or parts[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(
+            F.concat(F.lit("k"), F.col("id") % 97)).alias("k"),
+        (F.col("id") * 7919 % 20_011).alias("v"), "id")
+    got = ranking.rank_within(df, ["k"], [F.col("v").desc(), F.col("id")], "nth", "of")
+    assert got.columns == ["k", "v", "id", "nth", "of"]
+    rows = got.collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = {}
+    for r in rows:
+        held.setdefault(r.k, []).append((-r.v, r.id, r.nth, r.of))
+    assert len(rows) == 20_000 and len(held["hot"]) == 10_000 and None in held
+    for own in held.values():
+        assert [(n, of) for _, _, n, of in sorted(own)] == [(n, len(own)) for n in range(1, len(own) + 1)]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in parts[0].groupBy("_part").count().collect()) < 1.5 * 20_000 / n
+    assert parts[0].filter("k = 'hot'").select("_part").distinct().count() >= n // 2
+    assert ranking.rank_within(df.limit(0), ["k"], [F.col("id")], "nth").count() == 0
