@@ -9,8 +9,8 @@
 * Candidates are confirmed by a banded bit-parallel edit distance on the whole lines: one bit per diagonal of the band
   and one bit set per number of errors, all pairs of a batch at a time.
 * A bucket's lines meet its hub first. Lines of buckets that then still hold several components meet once more across components:
-  each other in a bucket of at most ``FEW`` lines, in a larger one on their rarest grams: of runs of ``GRAM`` code points two edits change few, so the rarest few of one line must meet those of the
-  other. Template lines that share a segment but differ elsewhere share none of these, so no crowded bucket is compared with itself.
+  each other in a bucket of at most ``FEW`` lines, in a larger one on their rarest grams: of runs of ``GRAM`` code points two
+  edits change few, so the rarest few of one line must meet those of the other. Template lines that share a segment but differ elsewhere share none of these, so no crowded bucket is compared with itself.
 * Lines connected by confirmed links are a class, and the first line of a class, by (document, line number), is kept.
 
 Null or empty texts have no lines that take part. Repeated rows of one document key count as one document. Only key and
@@ -39,6 +39,9 @@ LEAST = 20
 GRAM = 5
 # Members of a bucket that may meet each other directly.
 FEW = 16
+# Lines that may meet directly on one of their first grams; slots of the counts that order the grams.
+MANY = 16
+SLOTS = 1 << 18
 # Lines whose keys a task remembers to have filed already.
 REMEMBERED = 1 << 18
 # Bounds of memory per step: bytes of text hashed at once, code points of padded pairs compared at once.
@@ -290,48 +293,103 @@ def _near_bags(a: str, b: str, edits: int):
     return gap <= 2 * edits
 
 
-def rare_gram_pairs(items: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
+def _grams(batch: pa.RecordBatch, q: int, least: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per part of a batch (id, root, line): the part, the lengths of its lines, and (row, hash) of every gram of q code points.
+
+    A gram that a line holds again has a hash of its own. Rows are in order, and so are the hashes of a row.
+    """
+    texts = batch.column(2).cast(pa.binary())
+    for lo, hi in batches_by_bytes(pc.binary_length(texts).to_pylist(), BYTES // 4):
+        found = Lines(texts.slice(lo, hi - lo).to_pylist(), least)
+        count = found.length - q + 1
+        row = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        h = found.spans(found.start[row] + at, np.full(len(row), q), 3)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+        again = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate((first, [len(h)]))))
+        with np.errstate(over="ignore"):
+            h = mix(h + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 11)
+        yield batch.slice(lo, hi - lo), found.length, row, h
+
+
+GRAM_ROWS = "id bigint, root bigint, n bigint, h bigint"
+
+
+def _gram_rows(part: pa.RecordBatch, length: np.ndarray, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    pick = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [part.column(0).take(pick), part.column(1).take(pick), pa.array(length[row].astype(np.int64)),
+         pa.array(h.view(np.int64))], names=["id", "root", "n", "h"])
+
+
+def _slot_counts(texts: DataFrame, q: int, least: int) -> np.ndarray:
+    """How many grams of all lines fall into each of ``SLOTS`` slots by hash: the only thing sent to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, _, h in _grams(batch, q, least):
+                total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "c"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for r in texts.mapInArrow(run, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).collect():
+        counts[r.slot] = r.c
+    return counts
+
+
+def rare_gram_pairs(items: DataFrame, lines: DataFrame, edits: int, least: int, many: int = MANY) -> DataFrame:
     """Pairs (src, dst) of ``items`` (id, root) of different roots that may lie within ``edits``.
 
-    An edit changes at most q of a line's grams of q code points, counted with their repeats. So with the grams in one order for all,
-    rarest first, lines within ``edits`` share one among the first q * edits + 1 of either. q is small enough that the shortest
+    An edit changes at most q of a line's grams of q code points, counted with their repeats. So with the grams in any one order
+    for all, lines within ``edits`` share one among the first q * edits + 1 of either. q is small enough that the shortest
     line has as many.
+
+    The order goes by counts per slot of hashes, which a task can hold, so a line gives only its first grams. A gram that more than
+    ``many`` lines still hold joins nothing; its lines, which include both ends of any pair it stands for, give all their grams
+    and are ordered by exact counts.
     """
     q = max(1, min(GRAM, least // (edits + 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            texts = whole.column(2).cast(pa.binary())
-            for lo, hi in batches_by_bytes(pc.binary_length(texts).to_pylist(), BYTES // 4):
-                part = whole.slice(lo, hi - lo)
-                found = Lines(texts.slice(lo, hi - lo).to_pylist(), least)
-                count = found.length - q + 1
-                row = np.repeat(np.arange(len(count)), count)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                h = found.spans(found.start[row] + at, np.full(len(row), q), 3)
-                order = np.lexsort((h, row))
+    head = q * edits + 1
+    texts = checkpoint(items.join(lines.select("id", "line"), "id").select("id", "root", "line"))
+    counts = _slot_counts(texts, q, least)
+
+    def first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, length, row, h in _grams(batch, q, least):
+                order = np.lexsort((h, counts[(h % np.uint64(SLOTS)).astype(np.int64)], row))
                 h, row = h[order], row[order]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
-                again = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate((first, [len(h)]))))
-                with np.errstate(over="ignore"):
-                    h = mix(h + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 11)
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pick), part.column(1).take(pick), pa.array(found.length[row].astype(np.int64)),
-                     pa.array(h.view(np.int64))], names=["id", "root", "n", "h"])
-
-    sets = checkpoint(items.join(lines.select("id", "line"), "id").select("id", "root", "line").mapInArrow(
-        run, "id bigint, root bigint, n bigint, h bigint"))
-    seen = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+                begin = np.searchsorted(row, np.arange(part.num_rows))
+                near = np.arange(len(row)) - begin[row] < head
+                yield _gram_rows(part, length, row[near], h[near])
+
+    def all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, length, row, h in _grams(batch, q, least):
+                yield _gram_rows(part, length, row, h)
+
+    def with_counts(grams: DataFrame) -> DataFrame:
+        seen = grams.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return grams.join(seen, "h")
+
+    bags = lines.select("id", "x", "y")
+
+    def meet(prefix: DataFrame) -> DataFrame:
+        held = prefix.select("id", "root", "n", "h").join(bags, "id")
+        other = held.select("h", *[C(c).alias("other_" + c) for c in ("id", "root", "n", "x", "y")])
+        return held.join(other, "h").filter(
+            (C("id") < C("other_id")) & (C("root") != C("other_root")) & (F.abs(C("n") - C("other_n")) <= edits)
+            & _near_bags("", "other_", edits)).select(C("id").alias("src"), C("other_id").alias("dst"))
+
+    some = checkpoint(with_counts(checkpoint(texts.mapInArrow(first_grams, GRAM_ROWS))).filter(C("lo") < C("hi")))
+    hot = some.filter(C("c") > many).select("id").distinct()
+    exact = checkpoint(texts.join(hot, "id", "left_semi").select("id", "root", "line").mapInArrow(all_grams, GRAM_ROWS))
     rarest = Window.partitionBy("id").orderBy("c", "h")
-    prefix = sets.join(seen, "h").withColumn("r", F.row_number().over(rarest)).filter(
-        (C("r") <= q * edits + 1) & (C("lo") < C("hi"))).select("id", "root", "n", "h")
-    prefix = checkpoint(prefix.join(lines.select("id", "x", "y"), "id"))
-    other = prefix.select("h", *[C(c).alias("other_" + c) for c in ("id", "root", "n", "x", "y")])
-    pairs = prefix.join(other, "h").filter(
-        (C("id") < C("other_id")) & (C("root") != C("other_root")) & (F.abs(C("n") - C("other_n")) <= edits)
-        & _near_bags("", "other_", edits))
-    return pairs.select(C("id").alias("src"), C("other_id").alias("dst"))
+    ranked = with_counts(exact).withColumn("r", F.row_number().over(rarest)).filter((C("r") <= head) & (C("lo") < C("hi")))
+    return meet(some.filter(C("c") <= many)).unionByName(meet(checkpoint(ranked)))
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,
