@@ -170,18 +170,21 @@ def _key(c: Column) -> Column:
     return F.upper(F.trim(F.coalesce(c, F.lit(""))))
 
 
-def fibre_nodes(statuses: DataFrame, locations: DataFrame) -> DataFrame:
+def fibre_nodes(statuses: DataFrame, locations: DataFrame, code: str | None = None) -> DataFrame:
     """Located nodes with their status where one is recorded for (district, block, council).
 
-    ``statuses``: district, block, gp, status. ``locations``: district, block, gp, lat, lon, all text.
+    ``statuses``: district, block, gp, status. ``locations``: district, block, gp, lat, lon, all text. ``code``: a column of both that
+    tells councils of one name in a block apart; without it they share a status.
     """
-    key = [_key(C(c)).alias("_" + c) for c in ("district", "block", "gp")]
+    parts = ["district", "block", "gp", *([code] if code else [])]
+    key = [_key(C(c).cast("string")).alias("_" + c) for c in parts]
+    on = ["_" + c for c in parts]
     s = statuses.select(*key, F.trim(F.coalesce("status", F.lit(""))).alias("status")).groupBy(
-        "_district", "_block", "_gp").agg(F.max("status").alias("status"))
+        *on).agg(F.max("status").alias("status"))
     lat, lon = safe_float(C("lat")), safe_float(C("lon"))
     n = locations.withColumns({"_lat": lat, "_lon": lon}).filter(valid_coordinates(C("_lat"), C("_lon")))
     return n.select(*key, F.trim("gp").alias("gp"), F.trim("block").alias("block"), "_lat", "_lon").join(
-        s, ["_district", "_block", "_gp"], "left").select(
+        s, on, "left").select(
         C("_district").alias("district"), "block", "gp", "status", C("_lat").alias("lat"), C("_lon").alias("lon"))
 
 
