@@ -10,6 +10,7 @@ and pairs of its words with a blank on either side, in any order of words, are f
 a pair file their rarest letters instead. What meets must then pass, in the JVM, a bound on lengths and on the letters that one
 name has and the other lacks. One comparison needs no likeness at all: a common word makes names of quite different length agree at
 a fixed score. There every name meets, per word and length, only the rows that can decide: the smallest id and the two ends of the areas.
+Where names recur in many districts they meet by name alone, if that makes fewer pairs. A pair of names is scored once for all districts.
 
 For the plain edit score at most k edits destroy 2k letter pairs, so of any 2k + 1 pairs taken in one fixed order at least one survives
 on both sides.
@@ -17,6 +18,10 @@ on both sides.
 
 from __future__ import annotations
 
+import math
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,21 +30,27 @@ from ..functions.similarity import LONG_PARTIAL_SCALE, PARTIAL_SCALE, TOKEN_SCAL
 from .state import checkpoint
 
 C = F.col
-SPACES = r"(?U)[\s\x1c-\x1f]"
 
 
-def _numbered(parts: Column) -> Column:
+def _numbered(parts: list[str]) -> list[str]:
     """Each element with its occurrence number, so repeated ones count as different."""
-    return F.transform(parts, lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    seen: dict[str, int] = {}
+    out = []
+    for x in parts:
+        seen[x] = seen.get(x, 0) + 1
+        out.append(f"{x}#{seen[x]}")
+    return out
 
 
-def _windows(name: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (width - 1), F.lit(1))), lambda i: F.substring(name, i, F.lit(width)))
+def _windows(name: str) -> list[str]:
+    return [name[i:i + 2] for i in range(max(len(name) - 1, 1))]
 
 
 def _pairs(name: Column) -> Column:
-    return _numbered(_windows(name, 2))
+    """The letter pairs of a name, numbered, as a column."""
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
+    return F.transform(parts, lambda g, i: F.concat(
+        g, F.lit("#"), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
 
 
 # ---- weighted score
@@ -50,25 +61,33 @@ def _profiles(names: DataFrame, threshold: float) -> DataFrame:
     t = threshold / 100
     word, part = t / TOKEN_SCALE, t / PARTIAL_SCALE
     letters = min(t, part / (2 - part))  # share of the shorter name's letters that the other one has
-    df = names.select("district", "name", F.length("name").alias("long"),
-                      F.filter(F.split("name", SPACES + "+"), lambda w: w != "").alias("_words"))
-    df = df.withColumns({
-        "short": F.length(F.array_join(F.array_distinct("_words"), " ")),
-        "_padded": F.flatten(F.transform("_words", lambda w: _windows(F.concat(F.lit(" "), w, F.lit(" ")), 2))),
-        "_raw": _windows(C("name"), 2), "_letters": _windows(F.regexp_replace("name", SPACES, " "), 1)})
-    df = df.withColumns({c: _numbered(C(c)) for c in ("_padded", "_raw", "_letters")})
-
-    def need(share: float, length: str) -> Column:
-        return F.greatest(F.ceil(C(length) * F.lit(3 * share - 2) - 1 - 1e-9).cast("int"), F.lit(0))
-
-    tiny = (need(t, "long") < 1) | (need(word, "short") < 1)
-    few = F.when(tiny, F.greatest(F.ceil(C("short") * F.lit(letters) - 1e-9).cast("int"), F.lit(1))).otherwise(0)
-    kinds = [("r", "_raw", C("long"), need(t, "long")), ("w", "_padded", C("short"), need(word, "short")), ("l", "_letters", F.lit(0), few)]
-    bit = F.aggregate("_letters", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
-    return df.select("district", "name", "long", "short", bit.alias("mask"), "_words", F.array(*[
-        F.struct(F.lit(k).alias("kind"), C(c).alias("keys"), size.cast("int").alias("size"), n.alias("need"))
-        for k, c, size, n in kinds]).alias("filed"))
+
+    def need(share: float, length: int) -> int:
+        return max(math.ceil(length * (3 * share - 2) - 1 - 1e-9), 0)
+
+    def profile(name: str) -> tuple:
+        words = name.split()
+        short = len(" ".join(dict.fromkeys(words)))
+        raw, padded = _numbered(_windows(name)), _numbered([w for x in words for w in _windows(f" {x} ")])
+        alone = _numbered(["".join(words)[i] for i in range(sum(map(len, words)))])
+        tiny = need(t, len(name)) < 1 or need(word, short) < 1
+        mask = 0
+        for x in alone:
+            mask |= 1 << (zlib.crc32(x.encode()) & 63)
+        return len(name), short, mask - (mask >> 63 << 64), words, [
+            ("r", raw, len(name), need(t, len(name))), ("w", padded, short, need(word, short)),
+            ("l", alone, 0, max(math.ceil(short * letters - 1e-9), 1) if tiny else 0)]
+
+    # names are distinct: a plain helper per name
+    @F.pandas_udf("long int, short int, mask bigint, _words array<string>, "
+                  "filed array<struct<kind:string,keys:array<string>,size:int,need:int>>")
+    def profiled(name: pd.Series) -> pd.DataFrame:
+        rows = [profile(n) for n in name]
+        return pd.DataFrame({
+            **{c: [r[i] for r in rows] for i, c in enumerate(("long", "short", "mask", "_words"))},
+            "filed": [[dict(zip(("kind", "keys", "size", "need"), f)) for f in r[4]] for r in rows]})
+
+    return names.select("district", "name", profiled("name").alias("p")).select("district", "name", "p.*")
 
 
 def _filed(profiles: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -119,16 +138,37 @@ def _common_words(left: DataFrame, right: DataFrame, ids: DataFrame) -> DataFram
     return met.select("district", "l_name", F.explode(F.array_distinct("names")).alias("r_name"))
 
 
+def _shared_names(left: DataFrame, right: DataFrame) -> bool:
+    """Whether names recur over districts so much that fewer pairs meet by name alone than district by district."""
+    def counts(df: DataFrame, n: str) -> DataFrame:
+        return df.groupBy("district").agg(F.count(F.lit(1)).cast("double").alias(n))
+
+    inside = counts(left, "l").join(counts(right, "r"), "district").agg(F.sum(C("l") * C("r")).alias("n")).first().n or 0.0
+    return float(left.select("name").distinct().count()) * right.select("name").distinct().count() < inside
+
+
 def _weighted_pairs(left: DataFrame, right: DataFrame, threshold: float, area: str | None) -> DataFrame:
     if threshold / 100 * 3 - 2 <= 0.1 or threshold / 100 <= LONG_PARTIAL_SCALE:
         raise ValueError("the weighted score needs a threshold of at least 70")
-    lp = _profiles(left.select("district", "name").filter("trim(name) <> ''").distinct(), threshold)
-    rp = _profiles(right.select("district", "name").filter("trim(name) <> ''").distinct(), threshold)
-    pairs = _meetings(lp, rp, threshold)
+    ln, rn = (checkpoint(x.select("district", "name").filter("trim(name) <> ''").distinct()) for x in (left, right))
+    lone = _shared_names(ln, rn)
+    tasks = int(ln.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def profiles(names: DataFrame) -> DataFrame:
+        names = names.select(F.lit("").alias("district"), "name").distinct() if lone else names
+        return checkpoint(_profiles(names.repartition(tasks, "name"), threshold))
+
+    lp, rp = profiles(ln), profiles(rn)
+    pairs = _meetings(lp, rp, threshold).select("l_name", "r_name")
     if threshold <= 100 * TOKEN_SCALE * PARTIAL_SCALE:
         ids = right.select("district", "name", "id", F.coalesce(C(area), F.lit("")).alias("area") if area else F.lit("").alias("area"))
-        pairs = pairs.unionByName(_common_words(lp, rp, ids))
-    return pairs.distinct().withColumn("score", weighted_ratio_column(C("l_name"), C("r_name")))
+        sides = [n.join(p.drop("district").dropDuplicates(["name"]), "name") for n, p in ((ln, lp), (rn, rp))]
+        pairs = pairs.unionByName(_common_words(*sides, ids).select("l_name", "r_name"))
+    # A pair of names is scored once for all districts; few bytes are much work, so their number says how many tasks.
+    pairs = pairs.distinct().repartition(tasks, "l_name", "r_name")
+    scored = checkpoint(pairs.withColumn("score", weighted_ratio_column(C("l_name"), C("r_name"))).filter(C("score") >= threshold))
+    return scored.join(ln.withColumnRenamed("name", "l_name"), "l_name").join(
+        rn.withColumnRenamed("name", "r_name"), ["district", "r_name"]).select("district", "l_name", "r_name", "score")
 
 
 # ---- edit score
@@ -146,7 +186,7 @@ def _edit_keys(name: Column, threshold: float) -> Column:
 def _score_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bool, area: str | None = None) -> DataFrame:
     """(district, l_name, r_name, score) of distinct names with score >= threshold."""
     if strict:
-        return _weighted_pairs(left, right, threshold, area).filter(C("score") >= threshold)
+        return _weighted_pairs(left, right, threshold, area)
     ln = left.select("district", C("name").alias("l_name")).filter("trim(l_name) <> ''").distinct()
     rn = right.select("district", C("name").alias("r_name")).filter("trim(r_name) <> ''").distinct()
     lk = ln.withColumn("_g", F.explode(_edit_keys(C("l_name"), threshold)))
