@@ -22,18 +22,22 @@ def add_headquarters(places: DataFrame, headquarters: DataFrame) -> DataFrame:
 def assign_blocks(places: DataFrame, headquarters: DataFrame) -> DataFrame:
     """Block of every place = name of the nearest headquarters of its district; adds ``hq_km``.
 
-    Headquarters of a district travel as one array row, so the join stays one row per place even where a district
-    holds most places.
+    Places and headquarters share points, so distances run once per district and pair of distinct points, and of the headquarters
+    at a point only the one with the smallest id takes part. They travel as one array row per district, so the join stays
+    one row per point even where a district holds most places.
     """
-    per_district = headquarters.groupBy("district").agg(
-        F.array_sort(F.collect_list(F.struct("id", "name", "lat", "lon"))).alias("_hqs"))
+    first = headquarters.groupBy("district", "lat", "lon").agg(F.min(F.struct("id", "name")).alias("_hq"))
+    per_district = first.groupBy("district").agg(
+        F.array_sort(F.collect_list(F.struct("_hq.id", "_hq.name", "lat", "lon"))).alias("_hqs"))
     options = F.transform("_hqs", lambda h: F.struct(
         haversine_km(C("lat"), C("lon"), h["lat"], h["lon"]).alias("km"), h["id"].alias("id"), h["name"].alias("name")))
-    best = F.array_min(options)
+    spots = places.select("district", "lat", "lon").distinct().join(per_district, "district").select(
+        *[C(c).alias("_" + c) for c in ("district", "lat", "lon")], F.array_min(options).alias("_best"))
+    same = [C(c).eqNullSafe(C("_" + c)) for c in ("district", "lat", "lon")]
     return (
-        places.join(per_district, "district", "left").withColumn("_best", best)
+        places.join(spots, same, "left")
         .withColumns({"block": F.coalesce(C("_best.name"), C("block")), "hq_km": C("_best.km")})
-        .drop("_hqs", "_best"))
+        .drop("_best", "_district", "_lat", "_lon"))
 
 
 def regeocode(reports: DataFrame, places: DataFrame, threshold: float = 75.0) -> DataFrame:
