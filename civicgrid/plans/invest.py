@@ -23,9 +23,12 @@ def _point_counts(reports: DataFrame, category: str) -> DataFrame:
 
 def reports_near(places: DataFrame, reports: DataFrame, category: str, key: str,
                  cfg: Settings = DEFAULTS) -> DataFrame:
-    """Reports within the demand radius of each place (key, p_lat, p_lon): key, nearby_reports."""
-    near = radius_join(_point_counts(reports, category), places.select(key, "p_lat", "p_lon"), cfg.demand_radius_km)
-    return near.groupBy(key).agg(F.sum("n").alias("nearby_reports"))
+    """Reports within the demand radius of each place (key, p_lat, p_lon): key, nearby_reports. Places of one point are counted once."""
+    spots = places.select("p_lat", "p_lon").distinct()
+    near = radius_join(_point_counts(reports, category), spots, cfg.demand_radius_km).groupBy("p_lat", "p_lon").agg(
+        F.sum("n").alias("n"))
+    return places.select(key, "p_lat", "p_lon").join(near, ["p_lat", "p_lon"]).groupBy(key).agg(
+        F.sum("n").alias("nearby_reports"))
 
 
 def reports_per_school(reports: DataFrame, schools: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
