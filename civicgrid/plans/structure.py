@@ -11,6 +11,7 @@ from ..functions.geo import accepted_pin, haversine_km
 from ..functions.numeric import picked_location_confidence
 from ..functions.rounding import portable_round
 from ..operators.fuzzy import best_match
+from ..operators.state import checkpoint
 
 C = F.col
 # Stands for every district in the comparison of names.
@@ -35,9 +36,11 @@ def structure_reports(reports: DataFrame, places: DataFrame, threshold: float =
 
     ``reports``: id, raw_text, duplicate_count, and ``district`` where it is known beforehand (it limits the place names
     compared; without one the name meets the places of all districts, and the district is filled from the match).
-    Works on a stream as well, up to the place match (see ``structure_columns``).
+    Works on a stream as well, up to the place match (see ``structure_columns``). The text rules are costly and their rows are read
+    several times, so they are dealt over all tasks first (small files give few) and written once.
     """
-    t = structure_columns(reports)
+    tasks = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = checkpoint(structure_columns(reports.repartition(tasks, "id")))
     named = t.filter("location_raw is not null").select(
         "id", F.coalesce("district", F.lit(ANYWHERE)).alias("district"), C("location_raw").alias("name"))
     known = places.select("id", "district", "name")

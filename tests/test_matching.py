@@ -218,3 +218,14 @@ def test_names_of_many_districts_meet_once(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "_meetings", lambda a, b, t: seen.append((a.count(), b.count())) or meetings(a, b, t))
     got = {r.id: r.match_id for r in fuzzy.best_match(left, right, 85.0).collect()}
     assert seen == [(4, 4)] and got == {i: i % 10 * 4 + i % 4 for i in range(60)}
+
+
+def test_structured_text_is_written_once(spark):
+    reports = spark.createDataFrame([(1, "Near Wadgaon village the road is broken", 0, None)],
+                                    "id long, raw_text string, duplicate_count long, district string")
+    places = spark.createDataFrame([(7, "Kolhapur", "Peth", "Wadgaon", 16.0, 74.0)],
+                                   "id long, district string, block string, name string, lat double, lon double")
+    got = structure.structure_reports(reports, places)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan
+    assert got.first()["place_id"] == 7
