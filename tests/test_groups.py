@@ -136,3 +136,18 @@ def test_ranks_within_a_hot_key(spark, monkeypatch):
     assert max(r["count"] for r in parts[0].groupBy("_part").count().collect()) < 1.5 * 20_000 / n
     assert parts[0].filter("k = 'hot'").select("_part").distinct().count() >= n // 2
     assert ranking.rank_within(df.limit(0), ["k"], [F.col("id")], "nth").count() == 0
+
+
+def test_a_vector_is_held_once(spark, monkeypatch):
+    held, written = [], graph.checkpoint
+
+    def spy(df):
+        held.append(written(df))
+        return held[-1]
+
+    monkeypatch.setattr(graph, "checkpoint", spy)
+    rows = [(i, "road", 16.0 + i * 0.002, 74.0, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, category string, lat double, lon double, vec array<double>")
+    got = {r.id: r.root for r in graph.density_groups(points, ["category"], 1.0, 3, "vec", 3.0).collect()}
+    assert got == brute(rows, 1.0, 3, 3.0)
+    assert sum(t.count() for t in held if "vec" in t.columns) == 2
