@@ -151,3 +151,26 @@ def test_a_vector_is_held_once(spark, monkeypatch):
     got = {r.id: r.root for r in graph.density_groups(points, ["category"], 1.0, 3, "vec", 3.0).collect()}
     assert got == brute(rows, 1.0, 3, 3.0)
     assert sum(t.count() for t in held if "vec" in t.columns) == 2
+
+
+def test_neighbours_are_counted_in_blocks(spark, monkeypatch):
+    from civicgrid.operators import meetings
+
+    rows = sample(4) + [(1000, "road", 16.0, 74.0, []), (1001, "road", 16.001, 74.0, [1.0, None, 0.0, 0.0]), (1002, "road", None, 74.0, [1.0])]
+
+    def gap(a, b):
+        known = len(a[4]) == len(b[4]) and None not in (*a[4], *b[4])
+        return hav(a[2], a[3], b[2], b[3]) + 3 * (1 - (sum(x * y for x, y in zip(a[4], b[4])) if known else 0.0))
+
+    want = {}
+    for a in rows[:-1]:
+        gaps = [gap(a, b) for b in rows[:-1] if a[1] == b[1] and a[0] != b[0] and gap(a, b) <= 6]
+        if gaps:
+            want[a[0]] = (len(gaps), round(min(gaps), 6))
+    points = spark.createDataFrame(rows, "id long, category string, lat double, lon double, vec array<double>")
+    for left, right, at_once in ((4096, 16384, 256), (20, 30, 7)):
+        monkeypatch.setattr(meetings, "LEFT_ROWS", left)
+        monkeypatch.setattr(meetings, "RIGHT_ROWS", right)
+        monkeypatch.setattr(meetings, "AT_ONCE", at_once)
+        met = meetings.neighbour_counts(points, ["category"], 6.0, 3.0)
+        assert {r.id: (r.neighbours, round(r.nearest, 6)) for r in met.collect()} == want
