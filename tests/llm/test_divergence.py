@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from civicgrid.llm import divergence
 
@@ -90,3 +91,19 @@ def test_no_rows_and_no_kept_terms(spark):
     assert divergence.divergence(frame(spark, [("a b", "en", "s")]).limit(0)).count() == 0
     got = divergence.divergence(frame(spark, [("a b", "en", "s"), ("b", "en", "t"), (None, None, None)]))
     assert sorted((r.source, r.item, r.value) for r in got.collect()) == [("s", "t", 0), ("t", "s", 0)]
+
+
+def test_gathering_takes_little_beside_the_bytes():
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    size = rnd.integers(1, 12, 200_000)
+    start = rnd.permutation(np.cumsum(size) - size)
+    data = rnd.integers(0, 256, int(size.sum()) + 12, dtype=np.uint8)
+    tracemalloc.start()
+    flat, at = divergence._gathered(data, start, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bytes(flat) == b"".join(data[s:s + n].tobytes() for s, n in zip(start, size)) and at[-1] == size.sum()
+    assert peak < 12 * len(flat)
+    assert len(divergence._gathered(data, start[:0], size[:0])[0]) == 0
