@@ -21,8 +21,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lattice_sampling.segmentations(table(spark, sf_dir, "documents"), with_ids=False)
-    return found.select("doc_id", "sample", "n_ids", "ids_crc32", "log_p", "perturbed", "log_inclusion", "decodes")
+    found = lattice_sampling.segmentations(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sample", "n_ids", "ids_crc32", "log_p", "perturbed", "log_inclusion", "decodes", "ids")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,3 +252,10 @@ def test_dropped_elements_end(trees):
     body = f'<p>{said[0]}</p><svg class="i"/><p>{said[1]}</p><select><option>no<p>{said[2]} <math><mi>q</mi></math></p><svg><p>{said[3]}</p>'
     got = html_extract.main_text(PAGE.format(body=body), trees).split("\n")
     assert got[1:] == [said[0], said[1], said[2] + " q", said[3]]
+
+
+def test_the_registered_segmentations_return_their_ids(spark):
+    from civicgrid.llm import queries
+
+    got = queries.op3_sentencepiece_sampling(spark, "/root/testdata/sf0.001").limit(6).collect()
+    assert got and all(len(r.ids) == r.n_ids and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
