@@ -39,6 +39,7 @@ MIN_DOCS = 10
 TOP = 10
 DIGEST_BITS = 64
 PIECE = 6_000_000  # bytes of text that are counted at once
+HASHED = 1 << 19  # bytes of a piece that are hashed at once
 
 GROUP = ["lang", "source"]
 ID = ["digest", "part"]
@@ -87,7 +88,16 @@ def _pieces(text: pa.StringArray) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int) -> np.ndarray:
-    return (span_hashes(data, start, end) >> np.uint64(64 - bits)).view(np.int64)
+    """Digests of the terms, which are in order: about HASHED bytes at once, as sums and powers take forty bytes a byte."""
+    out = np.empty(len(start), np.int64)
+    at = 0
+    while at < len(start):
+        lo = int(start[at])
+        stop = max(at + 1, int(np.searchsorted(end, lo + HASHED, side="right")))
+        h = span_hashes(data[lo:int(end[stop - 1])], start[at:stop] - lo, end[at:stop] - lo)
+        out[at:stop] = (h >> np.uint64(64 - bits)).view(np.int64)
+        at = stop
+    return out
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:

@@ -107,3 +107,23 @@ def test_gathering_takes_little_beside_the_bytes():
     assert bytes(flat) == b"".join(data[s:s + n].tobytes() for s, n in zip(start, size)) and at[-1] == size.sum()
     assert peak < 12 * len(flat)
     assert len(divergence._gathered(data, start[:0], size[:0])[0]) == 0
+
+
+def test_digests_of_a_piece_are_made_in_blocks(monkeypatch):
+    import tracemalloc
+
+    rnd = np.random.default_rng(6)
+    size = rnd.integers(1, 12, 400_000)
+    size[1234] = 700_000  # a term longer than a block
+    end = np.cumsum(size + 1)
+    start = end - size
+    data = rnd.integers(97, 123, int(end[-1]) + 3, dtype=np.uint8)
+    want = (divergence.span_hashes(data, start, end) >> np.uint64(4)).view(np.int64)
+    tracemalloc.start()
+    got = divergence._digests(data, start, end, 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 15 * len(data)
+    monkeypatch.setattr(divergence, "HASHED", 1)
+    assert (divergence._digests(data, start[:99], end[:99], 60) == want[:99]).all()
+    assert len(divergence._digests(data, start[:0], end[:0], 60)) == 0
