@@ -23,6 +23,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,11 +39,12 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 # The model of segmentations: cost of a piece, and of the last merge rank on top.
 PIECE_COST, RANK_COST = 3.0, 3.0
-# Bounds of memory per task: words remembered, bytes of text sampled at once.
-REMEMBERED, BYTES = 200_000, 1 << 21
+# Bounds of memory per task: words remembered, bytes of text sampled at once, code points of new words added at once.
+REMEMBERED, BYTES, POINTS = 200_000, 1 << 19, 1 << 16
+SLOT = np.uint64(44)
 MARK = "▁"
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str | tuple[str, str], object] = {}
 
 
 class Vocabulary:
@@ -59,8 +61,11 @@ class Vocabulary:
         self.pieces = {sp.id_to_piece(i): (i, -PIECE_COST - RANK_COST * min(1.0, rank[i] / last)) for i in plain}
         self.bytes = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.longest = max(map(len, self.pieces))
-        self.spelled = {i: sp.id_to_piece(i).replace(MARK, " ").encode() for i in plain} | {
-            i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelled = [b""] * n
+        for i in plain:
+            self.spelled[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
+        for b, i in self.bytes.items():
+            self.spelled[i] = bytes([b])
 
     def normal(self, text: str) -> str:
         return self.processor.normalize(text) if text else ""
@@ -70,6 +75,13 @@ class Vocabulary:
         out = b"".join([self.spelled[i] for i in ids]).decode(errors="replace")
         return out[1:] if out[:1] == " " else out
 
+    def decodes(self, ids: list[int], want: bytes) -> bool:
+        """Whether the ids spell the text, given in UTF-8 with its marks turned to spaces."""
+        if b"".join([self.spelled[i] for i in ids]) == want:
+            return True
+        text = want.decode()
+        return self.decode(ids) == (text[1:] if text[:1] == " " else text)
+
 
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
     if name not in _LOADED:
@@ -89,11 +101,11 @@ class Lattices:
     """Lattices of distinct words in flat arrays.
 
     Node v has the arcs ``first[v]`` to ``first[v + 1]``, likeliest first: ``share`` is the probability up to and with the
-    arc, ``to`` the node it leads to (-1 at the end of a word), ``node`` the one it leaves, ``piece`` its id or, for a
-    character spelled in bytes, minus one minus its place in ``spelled``.
+    arc, ``to`` the node it leads to (-1 at the end of a word), ``piece`` its id or, for a character spelled in bytes,
+    minus one minus its place in ``spelled``. The arrays are longer than the ``nodes`` and ``arcs`` they hold.
     """
 
-    FIELDS = ("share", "to", "node", "log_p", "piece")
+    FIELDS = {"share": np.float64, "to": np.int32, "log_p": np.float64, "piece": np.int32}
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -106,52 +118,83 @@ class Lattices:
         hashes = _hashes(flat, start, end)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.weights = hashes[order], self.ids[order], self.weights[order]
-        self.filter = np.zeros(1 << 22, bool)  # most substrings are no piece
-        self.filter[self.hashes >> np.uint64(42)] = True
+        # the first piece of each slot by hash, as most substrings are none; others of the slot follow it
+        slot = (self.hashes >> SLOT).astype(np.int64)
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.slots[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.deepest = int(np.bincount(slot).max())
+        self.first = np.zeros(1, np.int64)
+        for name, kind in self.FIELDS.items():
+            setattr(self, name, np.zeros(0, kind))
         self.reset()
 
     def reset(self) -> None:
         self.entry: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.share, self.log_p = np.zeros(0), np.zeros(0)
-        self.to, self.node, self.piece = (np.zeros(0, np.int64) for _ in range(3))
+        self.nodes = self.arcs = 0
         self.spelled: list[tuple[int, ...]] = []
 
+    def _put(self, name: str, at: int, new: np.ndarray) -> None:
+        """Write ``new`` behind the first ``at`` values; arrays grow by half at least, so words are seldom copied."""
+        held = getattr(self, name)
+        if at + len(new) > len(held):
+            wider = np.zeros(max(at + len(new), len(held) + len(held) // 2), held.dtype)
+            wider[:at] = held[:at]
+            held = wider
+            setattr(self, name, held)
+        held[at:at + len(new)] = new
+
+    def node(self, arc: int) -> int:
+        """The node that an arc leaves."""
+        return int(np.searchsorted(self.first[:self.nodes + 1], arc, side="right")) - 1
+
     def _arcs(self, points: np.ndarray, left: np.ndarray):
-        """Source, length, weight and piece of every arc; ``left``: code points from each place to the end of its word."""
+        """Source, length, weight and piece of every arc, those nearest to the end of their word first.
+
+        ``left``: code points from each place to the end of its word.
+        """
         total = _sums(points)
         found = []
-        every = np.arange(len(points))
+        every = np.argsort(_small(left), kind="stable")
+        reach = np.searchsorted(left[every], np.arange(self.vocab.longest + 1))
         for n in range(1, min(self.vocab.longest, int(left.max())) + 1):
-            at = every[left >= n]
+            at = every[reach[n]:]
             h = _spans(total, at, at + n)
-            at, h = (x[self.filter[h >> np.uint64(42)]] for x in (at, h))
-            spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            spot = self.slots[(h >> SLOT).view(np.int64)]
+            some = np.flatnonzero(spot >= 0)
+            at, h, spot = at[some], h[some], spot[some]
             hit = self.hashes[spot] == h
+            for _ in range(1, self.deepest):
+                miss = np.flatnonzero(~hit)
+                spot[miss] = np.minimum(spot[miss] + 1, len(self.hashes) - 1)
+                hit[miss] = self.hashes[spot[miss]] == h[miss]
             at, spot = at[hit], spot[hit]
             found.append((at, np.full(len(at), n), self.weights[spot], self.ids[spot]))
             if n == 1:
                 alone = np.ones(len(points), bool)
                 alone[at] = False
-                at = np.flatnonzero(alone)
+                at = every[alone[every]]
                 spelled = [tuple(self.vocab.bytes[b] for b in chr(points[i]).encode()) for i in at]
                 number = -1 - len(self.spelled) - np.arange(len(at))
                 self.spelled += spelled
                 cost = np.array([-(PIECE_COST + RANK_COST) * len(x) for x in spelled])
                 found.append((at, np.ones(len(at), np.int64), cost, number))
-        return (np.concatenate(x) for x in zip(*found))
+        rank = np.empty(len(points), np.int64)
+        rank[every] = np.arange(len(points))
+        order = np.argsort(_small(rank[np.concatenate([x[0] for x in found])]), kind="stable")
+        return (np.concatenate(x)[order] for x in zip(*found))
 
     def add(self, new: list[str]) -> None:
-        """Lattices of all ``new`` words at once: arcs by hashed substrings, sums from the ends of the words."""
+        """Lattices of all ``new`` words, as many at once as have about POINTS code points."""
+        for lo, hi in batches_by_bytes([len(w) for w in new], POINTS):
+            self._add(new[lo:hi])
+
+    def _add(self, new: list[str]) -> None:
+        """Arcs by hashed substrings, sums from the ends of the words."""
         size = np.array([len(w) for w in new])
         points = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32).astype(np.uint64)
         begin = np.cumsum(size) - size
         left = np.repeat(begin + size, size) - np.arange(len(points))
         source, length, weight, piece = self._arcs(points, left)
-        order = np.argsort(source, kind="stable")  # a few sorted runs
-        far = left[source[order]]
-        order = order[np.argsort(far.astype(np.uint16) if far.max() < 1 << 16 else far, kind="stable")]
-        source, length, weight, piece = (x[order] for x in (source, length, weight, piece))
         far = left[source]
         target = source + length
         rest = np.zeros(len(points) + 1)
@@ -177,21 +220,21 @@ class Lattices:
         total = np.cumsum(p)
         share = total - (total - p)[first[source]]
         share[first[1:] - 1] = 1.0  # whatever rounding left
-        base, arcs = len(self.first) - 1, len(self.share)
+        base, arcs = self.nodes, self.arcs
         self.entry.update(zip(new, (begin + base).tolist()))
-        self.first = np.concatenate([self.first, arcs + first[1:]])
-        for name, x in zip(self.FIELDS, (share, np.where(last, -1, target + base), source + base, log_p, piece)):
-            setattr(self, name, np.concatenate([getattr(self, name), x]))
+        self._put("first", base + 1, arcs + first[1:])
+        for name, x in zip(self.FIELDS, (share, np.where(last, -1, target + base), log_p, piece)):
+            self._put(name, arcs, x)
+        self.nodes, self.arcs = base + len(points), arcs + len(source)
 
     def look(self, texts: list[list[str]]) -> np.ndarray:
         """Entry nodes of the words of several texts, one after the other."""
-        if len(self.entry) > REMEMBERED or len(self.first) > 16 * REMEMBERED:
+        if len(self.entry) > REMEMBERED or self.nodes > 16 * REMEMBERED:
             self.reset()
-        entry = self.entry
-        new = list({w for t in texts for w in t if w not in entry})
+        new = list(set().union(*texts).difference(self.entry))
         if new:
             self.add(new)
-        return np.array([entry[w] for t in texts for w in t], np.int64)
+        return np.fromiter(map(self.entry.__getitem__, chain.from_iterable(texts)), np.int64)
 
     def spell(self, arcs: np.ndarray) -> np.ndarray:
         """The ids of a path."""
@@ -208,6 +251,11 @@ class Lattices:
         return ids
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in two bytes where they fit, as those are sorted by counting."""
+    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+
+
 def _sums(points: np.ndarray) -> np.ndarray:
     total = np.zeros(len(points) + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -318,7 +366,7 @@ class Search:
         while step and left[step] == 0:
             step -= 1
         at = low + step
-        node = int(lat.node[path.arcs[at]])
+        node = lat.node(path.arcs[at])
         shut = closed.get(at, set())
         open_arcs = [a for a in range(lat.first[node], lat.first[node + 1]) if a != path.arcs[at] and a not in shut]
         if not open_arcs:
@@ -385,27 +433,33 @@ class Sampler:
             s.emit(value, *path, at + 1 if len(fixed[0]) else 0)
 
 
+def sampler(name: str = VOCABULARY) -> Sampler:
+    """One per worker: its words serve the tasks that come after, and its samples do not depend on them."""
+    if (name, "sampler") not in _LOADED:
+        _LOADED[name, "sampler"] = Sampler(name)
+    return _LOADED[name, "sampler"]
+
+
 def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES,
                   vocabulary_name: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
     """key, ``sample`` (from 1), ``n_ids``, ``ids_crc32``, ``log_p``, ``perturbed``, ``log_inclusion``, ``decodes`` (the ids
     spell the text's normal form) and, if asked for, ``ids``. Narrow: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(vocabulary_name)
-        vocab = sampler.vocab
+        drawn = sampler(vocabulary_name)
+        vocab = drawn.vocab
         for whole in batches:
             for lo, hi in batches_by_bytes(pc.binary_length(whole.column(2)).to_pylist(), BYTES):
                 part = whole.slice(lo, hi - lo)
                 normal = [vocab.normal(t) for t in part.column(2).to_pylist()]
                 rows, cols = [], [[] for _ in range(8)]
-                for at, found in enumerate(sampler.sample(part.column(1).to_pylist(), normal, k)):
-                    want = normal[at].replace(MARK, " ")
+                for at, found in enumerate(drawn.sample(part.column(1).to_pylist(), normal, k)):
+                    want = normal[at].replace(MARK, " ").encode()
                     for i, (ids, lp, value, inclusion) in enumerate(found):
                         rows.append(at)
                         held = ids.astype(np.int32)
-                        spelled = vocab.decode(ids.tolist())
                         for c, x in zip(cols, (i + 1, len(ids), zlib.crc32(held.astype("<u4").tobytes()), lp, value,
-                                               inclusion, spelled == (want[1:] if want[:1] == " " else want), held)):
+                                               inclusion, vocab.decodes(ids.tolist(), want), held)):
                             c.append(x)
                 names = ["sample", "n_ids", "ids_crc32", "log_p", "perturbed", "log_inclusion", "decodes"]
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]

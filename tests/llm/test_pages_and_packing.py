@@ -144,6 +144,35 @@ def test_sampling_matches_enumeration():
     assert len(everything) == len(p) and all(f[3] == 0.0 for f in everything)
 
 
+def test_new_words_are_added_in_blocks(monkeypatch):
+    import tracemalloc
+
+    rnd = np.random.default_rng(8)
+    new = [lattice_sampling.MARK + "".join(map(chr, rnd.integers(97, 123, int(n)))) for n in rnd.integers(3, 9, 40_000)]
+    s = lattice_sampling.Sampler()
+    s.lat.add(["one"])
+    tracemalloc.start()
+    s.lat.add(new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * s.lat.arcs  # bytes, of which 24 stay
+    texts = ["".join(new[i:i + 300]) for i in range(0, 900, 300)]
+    want = s.sample([1, 2, 3], texts)
+    monkeypatch.setattr(lattice_sampling, "POINTS", 1000)
+    other = lattice_sampling.Sampler()
+    other.sample([4], ["".join(new[900:950])])
+    for reset in (False, True):
+        if reset:
+            other.lat.reset()
+        got = other.sample([1, 2, 3], texts)
+        for a, b in zip(want, got):
+            assert [(x[0].tolist(), x[1:]) for x in a] == [(x[0].tolist(), x[1:]) for x in b]
+    ids = want[0][0][0].tolist()
+    text = texts[0].replace(lattice_sampling.MARK, " ")
+    assert s.vocab.decodes(ids, text.encode()) and s.vocab.decodes(ids, text[1:].encode())
+    assert not s.vocab.decodes(ids, (text + "x").encode()) and not s.vocab.decodes(ids[1:], text.encode())
+
+
 def test_segmentations_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "Hello  world\n ▁ \x00é́ 梦 🙂"), (4, "Hello  world\n ▁ \x00é́ 梦 🙂"), (5, "x" * 20_000), (None, "no key")]
     got = lattice_sampling.segmentations(docs(spark, rows), k=3).collect()
