@@ -24,10 +24,13 @@ def accept_facility(reports: DataFrame, facilities: DataFrame, cfg: Settings = D
         F.col("id").alias("facility_id"), F.col("category").alias("_cat"), F.col("p_lat").alias("_flat"),
         F.col("p_lon").alias("_flon"))
     near = haversine_km(F.col("v_lat"), F.col("v_lon"), F.col("_flat"), F.col("_flon")) <= cfg.facility_max_km
-    ok = (F.col("_cat") == F.col("issue_category")) & near
+    picked = F.col("facility_id").isNotNull()
+    ok = picked & (F.col("_cat") == F.col("issue_category")) & near
+    # Most reports pick nothing: those spread over all tasks under a hash of their own id, which ``picked`` keeps from counting.
+    keyed = reports.withColumn("_fid", F.coalesce(F.col("facility_id").cast("bigint"), F.xxhash64("id")))
     return (
-        reports.join(f, "facility_id", "left")
-        .withColumn("facility_id", F.when(ok, F.col("facility_id"))).drop("_cat", "_flat", "_flon")
+        keyed.join(f.withColumnRenamed("facility_id", "_fid"), "_fid", "left")
+        .withColumn("facility_id", F.when(ok, F.col("facility_id"))).drop("_cat", "_flat", "_flon", "_fid")
     )
 
 
