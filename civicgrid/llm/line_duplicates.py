@@ -10,7 +10,9 @@
   and one bit set per number of errors, all pairs of a batch at a time.
 * A bucket's lines meet its hub first. Lines of buckets that then still hold several components meet once more across components:
   each other in a bucket of at most ``FEW`` lines, in a larger one on their rarest grams: of runs of ``GRAM`` code points two
-  edits change few, so the rarest few of one line must meet those of the other. Template lines that share a segment but differ elsewhere share none of these, so no crowded bucket is compared with itself.
+  edits change few, so the rarest few of one line must meet those of the other, and all grams together may differ by few, which
+  a sketch of each line bounds. Template lines that share a segment but differ elsewhere share no rare gram, so no crowded bucket
+  is compared with itself. Near copies without a rare gram of their own are: the sketches keep the pairs that become rows few.
 * Lines connected by confirmed links are a class, and the first line of a class, by (document, line number), is kept.
 
 Null or empty texts have no lines that take part. Repeated rows of one document key count as one document. Only key and
@@ -27,7 +29,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.state import checkpoint
 from .common import _BASE, _INVERSE, batches_by_bytes, mix, powers
@@ -39,9 +40,10 @@ LEAST = 20
 GRAM = 5
 # Members of a bucket that may meet each other directly.
 FEW = 16
-# Lines that may meet directly on one of their first grams; slots of the counts that order the grams.
+# Lines that may meet directly on one of their first grams; slots of the counts that order the grams; words of a sketch of all grams.
 MANY = 16
 SLOTS = 1 << 18
+SKETCH = 8
 # Lines whose keys a task remembers to have filed already.
 REMEMBERED = 1 << 18
 # Bounds of memory per step: bytes of text hashed at once, code points of padded pairs compared at once.
@@ -247,8 +249,8 @@ def _shared(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "bucket bigint, id bigint, hub bigint")
 
 
-def _texts(docs: DataFrame, least: int, with_bags: bool = False) -> DataFrame:
-    """``id``, ``line``, and the two words of its bag: every line, once per batch of texts."""
+def _texts(docs: DataFrame, least: int) -> DataFrame:
+    """``id``, ``line``: every line, once per batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -257,14 +259,23 @@ def _texts(docs: DataFrame, least: int, with_bags: bool = False) -> DataFrame:
                 if not len(lines.hash):
                     continue
                 ids, pick = np.unique(lines.hash, return_index=True)
-                spans = [lines.points[s:s + n] for s, n in zip(lines.start[pick], lines.length[pick])]
-                bags = [_bag(p) for p in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array([p.tobytes().decode("utf-32-le") for p in spans]),
-                     pa.array([x for x, _ in bags], pa.int64()), pa.array([y for _, y in bags], pa.int64())],
-                    names=["id", "line", "x", "y"])
+                spans = [lines.points[s:s + n].tobytes().decode("utf-32-le") for s, n in zip(lines.start[pick], lines.length[pick])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(spans)], names=["id", "line"])
+
+    return docs.select("id", "t").mapInArrow(run, "id bigint, line string")
+
+
+def _with_bags(lines: DataFrame) -> DataFrame:
+    """``id``, ``line``, and the two words of its bag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [_bag(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([x for x, _ in bags], pa.int64()), pa.array([y for _, y in bags], pa.int64())],
+                names=["id", "line", "x", "y"])
 
-    return docs.select("id", "t").mapInArrow(run, "id bigint, line string, x bigint, y bigint")
+    return lines.select("id", "line").mapInArrow(run, "id bigint, line string, x bigint, y bigint")
 
 
 def _places(docs: DataFrame, least: int, kind: str, short: bool) -> DataFrame:
@@ -314,24 +325,28 @@ def _grams(batch: pa.RecordBatch, q: int, least: int) -> Iterator[tuple[pa.Recor
         yield batch.slice(lo, hi - lo), found.length, row, h
 
 
-GRAM_ROWS = "id bigint, root bigint, n bigint, h bigint"
+def _sketches(rows: int, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Per row, whether the number of its grams in each of 64 * ``SKETCH`` classes is odd: a gram more or less flips one bit."""
+    out = np.zeros(rows * SKETCH, np.uint64)
+    bit = h >> np.uint64(40)
+    word = ((bit >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)
+    np.bitwise_xor.at(out, row * SKETCH + word, np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64).reshape(rows, SKETCH)
 
 
-def _gram_rows(part: pa.RecordBatch, length: np.ndarray, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    pick = pa.array(row)
-    return pa.RecordBatch.from_arrays(
-        [part.column(0).take(pick), part.column(1).take(pick), pa.array(length[row].astype(np.int64)),
-         pa.array(h.view(np.int64))], names=["id", "root", "n", "h"])
+def _slots(h: np.ndarray, turn: int) -> np.ndarray:
+    """Slots by hash; those of each turn are others."""
+    return (mix(h, 13 + turn) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def _slot_counts(texts: DataFrame, q: int, least: int) -> np.ndarray:
+def _slot_counts(texts: DataFrame, q: int, least: int, turn: int) -> np.ndarray:
     """How many grams of all lines fall into each of ``SLOTS`` slots by hash: the only thing sent to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, _, h in _grams(batch, q, least):
-                total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                total += np.bincount(_slots(h, turn), minlength=SLOTS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "c"])
 
@@ -346,50 +361,60 @@ def rare_gram_pairs(items: DataFrame, lines: DataFrame, edits: int, least: int,
 
     An edit changes at most q of a line's grams of q code points, counted with their repeats. So with the grams in any one order
     for all, lines within ``edits`` share one among the first q * edits + 1 of either. q is small enough that the shortest
-    line has as many.
+    line has as many. It takes at most q grams and adds as many, so the sketches differ in at most 2 * q * edits bits.
 
     The order goes by counts per slot of hashes, which a task can hold, so a line gives only its first grams. A gram that more than
-    ``many`` lines still hold joins nothing; its lines, which include both ends of any pair it stands for, give all their grams
-    and are ordered by exact counts.
+    ``many`` lines still hold joins nothing; its lines, which include both ends of any pair it stands for, are ordered once
+    more by counts of themselves alone, and meet on their first grams then, however many hold one.
     """
     q = max(1, min(GRAM, least // (edits + 1)))
     head = q * edits + 1
     texts = checkpoint(items.join(lines.select("id", "line"), "id").select("id", "root", "line"))
-    counts = _slot_counts(texts, q, least)
 
-    def first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, length, row, h in _grams(batch, q, least):
-                order = np.lexsort((h, counts[(h % np.uint64(SLOTS)).astype(np.int64)], row))
-                h, row = h[order], row[order]
-                begin = np.searchsorted(row, np.arange(part.num_rows))
-                near = np.arange(len(row)) - begin[row] < head
-                yield _gram_rows(part, length, row[near], h[near])
+    def first_grams(texts: DataFrame, turn: int) -> DataFrame:
+        counts = _slot_counts(texts, q, least, turn)
 
-    def all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, _, row, h in _grams(batch, q, least):
+                    order = np.lexsort((h, counts[_slots(h, turn)], row))
+                    h, row = h[order], row[order]
+                    near = np.arange(len(row)) - np.searchsorted(row, np.arange(part.num_rows))[row] < head
+                    pick = pa.array(row[near])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pick), part.column(1).take(pick), pa.array(h[near].view(np.int64))],
+                        names=["id", "root", "h"])
+
+        grams = checkpoint(texts.mapInArrow(run, "id bigint, root bigint, h bigint"))
+        seen = grams.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return checkpoint(grams.join(seen.filter("lo < hi").select("h", "c"), "h"))
+
+    words = [f"s{k}" for k in range(SKETCH)]
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, length, row, h in _grams(batch, q, least):
-                yield _gram_rows(part, length, row, h)
-
-    def with_counts(grams: DataFrame) -> DataFrame:
-        seen = grams.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        return grams.join(seen, "h")
+                sketch = _sketches(part.num_rows, row, h)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(length.astype(np.int64)), *[pa.array(np.ascontiguousarray(w)) for w in sketch.T]],
+                    names=["id", "n", *words])
 
-    bags = lines.select("id", "x", "y")
+    some = first_grams(texts, 0)
+    hot = some.filter(C("c") > many).select("id").distinct()
+    rest = first_grams(checkpoint(texts.join(hot, "id", "left_semi")), 1)
+    traits = texts.join(some.select("id").distinct(), "id", "left_semi").select("id", "root", "line").mapInArrow(
+        sketched, "id bigint, n bigint, " + ", ".join(w + " bigint" for w in words))
+    traits = checkpoint(traits.join(lines.select("id", "x", "y"), "id"))
 
     def meet(prefix: DataFrame) -> DataFrame:
-        held = prefix.select("id", "root", "n", "h").join(bags, "id")
-        other = held.select("h", *[C(c).alias("other_" + c) for c in ("id", "root", "n", "x", "y")])
+        held = prefix.select("id", "root", "h").join(traits, "id")
+        other = held.select("h", *[C(c).alias("other_" + c) for c in ("id", "root", "n", "x", "y", *words)])
+        apart = sum((F.bit_count(C(w).bitwiseXOR(C("other_" + w))) for w in words), F.lit(0))
         return held.join(other, "h").filter(
             (C("id") < C("other_id")) & (C("root") != C("other_root")) & (F.abs(C("n") - C("other_n")) <= edits)
-            & _near_bags("", "other_", edits)).select(C("id").alias("src"), C("other_id").alias("dst"))
+            & (apart <= 2 * q * edits) & _near_bags("", "other_", edits)).select(C("id").alias("src"), C("other_id").alias("dst"))
 
-    some = checkpoint(with_counts(checkpoint(texts.mapInArrow(first_grams, GRAM_ROWS))).filter(C("lo") < C("hi")))
-    hot = some.filter(C("c") > many).select("id").distinct()
-    exact = checkpoint(texts.join(hot, "id", "left_semi").select("id", "root", "line").mapInArrow(all_grams, GRAM_ROWS))
-    rarest = Window.partitionBy("id").orderBy("c", "h")
-    ranked = with_counts(exact).withColumn("r", F.row_number().over(rarest)).filter((C("r") <= head) & (C("lo") < C("hi")))
-    return meet(some.filter(C("c") <= many)).unionByName(meet(checkpoint(ranked)))
+    return meet(some.filter(C("c") <= many)).unionByName(meet(rest))
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS,
@@ -403,7 +428,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     places = checkpoint(_places(rows, least, kind, short))
     shared = checkpoint(_shared(_entries(rows, least, edits)))
     used = checkpoint(shared.select("id").distinct())
-    lines = checkpoint(_texts(rows, least).join(used.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    lines = checkpoint(_with_bags(_texts(rows, least).join(used.hint("merge"), "id", "left_semi").dropDuplicates(["id"])))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

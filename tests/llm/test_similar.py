@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from civicgrid.llm import line_duplicates, near_duplicates, neighbours
 from pyspark.sql import functions as F
@@ -196,6 +197,45 @@ def test_rare_grams_miss_no_pair(spark):
         assert near and near <= {(min(r), max(r)) for r in map(tuple, found)}
 
 
+def test_near_copies_without_rare_grams_of_their_own(spark, monkeypatch):
+    """Grams written grow with the lines, not with their text, and near copies further apart than two edits make few pairs."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 6))) for _ in range(100)]
+
+    def swapped(k):
+        return words[:k] + [words[k + 1], words[k]] + words[k + 2:]
+
+    lines = sorted({" ".join(swapped(k)) for k in range(99)} | {" ".join(w for i, w in enumerate(words) if i != k) for k in range(100)})
+    lines += [x[:50] + "?" + x[51:] for x in lines[::20]]
+    frame = spark.createDataFrame([(i, x, *line_duplicates._bag(np.frombuffer(x.encode("utf-32-le"), np.uint32)))
+                                   for i, x in enumerate(lines)], "id long, line string, x long, y long")
+    written = []
+
+    def counted(df, plain=line_duplicates.checkpoint):
+        written.append(plain(df))
+        return written[-1]
+
+    monkeypatch.setattr(line_duplicates, "checkpoint", counted)
+    found = {(min(r), max(r)) for r in map(tuple, line_duplicates.rare_gram_pairs(
+        frame.select("id", F.col("id").alias("root")), frame, 2, 20).collect())}
+    pairs = list(itertools.combinations(range(len(lines)), 2))
+    near = {p for p, ok in zip(pairs, line_duplicates.within([(lines[a], lines[b]) for a, b in pairs], 2)) if ok}
+    assert near and near <= found and len(found) < len(pairs) / 20
+    assert max(df.count() for df in written) <= 11 * len(lines)
+
+
+def test_sketches_differ_by_no_more_than_the_grams():
+    rng = random.Random(13)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))) for _ in range(300)]
+    lines += [changed(rng, x, 2).ljust(20, "a") for x in lines]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(range(600)), pa.array(lines)], names=["id", "root", "line"])
+    (_, _, row, h), = line_duplicates._grams(batch, 5, 20)
+    sketch = line_duplicates._sketches(600, row, h)
+    for i in range(300):
+        if distance(lines[i], lines[300 + i]) <= 2:
+            assert sum(int(x).bit_count() for x in (sketch[i] ^ sketch[300 + i]).view(np.uint64)) <= 20
+
+
 def test_buckets_that_go_on_in_the_next_batch(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(5), rng.randrange(40), rng.random() < 0.3) for _ in range(500)] + [(9, 1, True), (9, 1, True), (8, 1, False)]
