@@ -164,8 +164,9 @@ def _weighted_pairs(left: DataFrame, right: DataFrame, threshold: float, area: s
         ids = right.select("district", "name", "id", F.coalesce(C(area), F.lit("")).alias("area") if area else F.lit("").alias("area"))
         sides = [n.join(p.drop("district").dropDuplicates(["name"]), "name") for n, p in ((ln, lp), (rn, rp))]
         pairs = pairs.unionByName(_common_words(*sides, ids).select("l_name", "r_name"))
-    # A pair of names is scored once for all districts; few bytes are much work, so their number says how many tasks.
-    pairs = pairs.distinct().repartition(tasks, "l_name", "r_name")
+    # A pair of names is scored once for all districts; few bytes are much work, so their number says how many tasks. They are dealt by
+    # a hash: by the names themselves the shuffle of the distinct step would serve, and that one may be merged into few tasks.
+    pairs = pairs.distinct().repartition(tasks, F.xxhash64("l_name", "r_name"))
     scored = checkpoint(pairs.withColumn("score", weighted_ratio_column(C("l_name"), C("r_name"))).filter(C("score") >= threshold))
     return scored.join(ln.withColumnRenamed("name", "l_name"), "l_name").join(
         rn.withColumnRenamed("name", "r_name"), ["district", "r_name"]).select("district", "l_name", "r_name", "score")
